@@ -1 +1,22 @@
+"""Scalar functions that requests use."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+from quillon.errors import QueryError
+from quillon.model import GRANULARITIES
+
+
+def truncated(column: Column, granularity: str | None, timezone: str | None = None) -> Column:
+    """A time column in a zone, cut to a granularity (weeks start on Monday), as timestamp without zone.
+
+    Without a granularity and zone the column stays as it is.
+    """
+    if timezone and timezone.upper() != "UTC":
+        column = F.from_utc_timestamp(column.cast("timestamp"), timezone).cast("timestamp_ntz")
+    if granularity is None:
+        return column
+    if granularity not in GRANULARITIES:
+        raise QueryError(f"'{granularity}' is not one of {', '.join(GRANULARITIES)}")
+    return F.date_trunc(granularity, column).cast("timestamp_ntz")

@@ -1 +1 @@
-
+"""Filters, aggregates, rolling windows and motifs."""

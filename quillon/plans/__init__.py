@@ -1 +1 @@
-
+"""From a request to a DataFrame."""
