@@ -287,3 +287,12 @@ def test_layer_errors(spark):
     b = a.replace("name: a", "name: b").replace("one", "two").replace("{name: e, key", "{name: e, type: foreign, key")
     with pytest.raises(PlanError):
         SemanticEngine(loader.layer([a, b]), spark).query({"dimensions": ["a.x", "b.x"]})
+
+
+def test_api(engine, spark):
+    from quillon import api
+
+    made = api.compile(spark, [VIEW, COUNTRY], {"measures": ["events.n"]}, engine.tables)
+    assert made["frame"].first()[0] == 12 and "HashAggregate" in made["plan"] and made["columns"][0]["alias"] == "events__n"
+    assert api.validate([VIEW, COUNTRY]) == [] and api.validate(["name: v"]) and api.validate(["a: ["])
+    assert len(api.catalog_list([COUNTRY])) == 7 + 12
