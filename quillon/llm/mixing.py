@@ -18,7 +18,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 LIMIT = 2
 #: Documents of a source that share a bucket, about; and the most buckets of a source.
-BUCKET, BUCKETS = 1024, 4096
+BUCKET, BUCKETS = 1024, 1 << 16
 ROUNDS = 4
 
 
