@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -40,6 +40,80 @@ _TOKEN = re.compile(r"\w+(?:'\w+)?|[.!?;:\n]")
 _CLAUSE_END = frozenset(".!?;:\n")
 
 
+# Symbols that the transducers read: sets of word classes as bits.
+INSULT, THREATENS, TARGETS, NEGATES, REPORTS, END, COLON = (1 << i for i in range(7))
+
+
+@dataclass(frozen=True)
+class Arc:
+    """What reading a symbol does: factors on an insult's weight and on the clause's, weight added to the clause, acceptance."""
+
+    state: int
+    word: float = 1.0
+    clause: float = 1.0
+    added: float = 0.0
+    accepts: bool = False
+
+
+Transducer = Callable[[int, int], Arc]
+
+
+def insults(state: int, x: int) -> Arc:
+    """Accepts clauses with an insult."""
+    return Arc(0, accepts=bool(state)) if x & END else Arc(int(state or x & INSULT > 0))
+
+
+def threats(state: int, x: int) -> Arc:
+    """Accepts clauses with a threat and a target, in either order, and adds a weight for the pair."""
+    if x & END:
+        return Arc(0, added=float(state == 3), accepts=state == 3)
+    return Arc(state | (1 if x & THREATENS else 0) | (2 if x & TARGETS else 0))
+
+
+def targets(state: int, x: int) -> Arc:
+    """Weighs clauses up that are aimed at someone."""
+    return Arc(0, clause=AIMED if state else 1.0) if x & END else Arc(int(state or x & TARGETS > 0))
+
+
+def negation(state: int, x: int) -> Arc:
+    """Weighs insults down within reach of a negation; the state is the words left of it."""
+    word = NEGATED if state and x & INSULT else 1.0
+    return Arc(0 if x & END else REACH if x & NEGATES else max(0, state - 1), word=word)
+
+
+def reported(state: int, x: int) -> Arc:
+    """Weighs reported clauses down; a report goes on past a colon, as in: he said: ..."""
+    if x & END:
+        return Arc(int(state and x & COLON > 0), clause=REPORTED if state else 1.0)
+    return Arc(int(state or x & REPORTS > 0))
+
+
+def composed(*parts: Transducer) -> list[dict[int, tuple[int, float, float, float, bool]]]:
+    """The product of transducers over their reachable states: by state, by symbol, (state, word, clause, added, accepts)."""
+    symbols = [*range(END), END, END | COLON]
+    start = (0,) * len(parts)
+    number, table, todo = {start: 0}, [], [start]
+    while todo:
+        at = todo.pop(0)
+        row = {}
+        for x in symbols:
+            arcs = [part(s, x) for part, s in zip(parts, at, strict=True)]
+            after = tuple(a.state for a in arcs)
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            row[x] = (number[after], math.prod(a.word for a in arcs), math.prod(a.clause for a in arcs), sum(a.added for a in arcs), any(a.accepts for a in arcs))
+        table.append(row)
+    return table
+
+
+MACHINE = composed(insults, threats, targets, negation, reported)
+_CLASS = {".": END, "!": END, "?": END, ";": END, "\n": END, ":": END | COLON}
+for _bit, _words in ((THREATENS, THREAT), (TARGETS, TARGET), (NEGATES, NEGATION), (REPORTS, REPORT)):
+    for _word in _words:
+        _CLASS[_word] = _CLASS.get(_word, 0) | _bit
+
+
 @dataclass
 class Grammar:
     """Learned insult weights over the fixed word classes."""
@@ -57,53 +131,41 @@ class Grammar:
                     return w
         return got
 
-    def clauses(self, tokens: list[str]) -> Iterator[tuple[float, int, bool]]:
-        """(weight, insults, aimed) of each clause that the composed machine accepts.
-
-        State: words left in reach of a negation, reported or not, a target seen or not, a
-        threat seen or not, the weight so far. A clause ends at punctuation or a line end.
-        """
-        negated, reported, aimed, threat, weight, hits = 0, False, False, False, 0.0, 0
+    def clauses(self, tokens: list[str]) -> Iterator[tuple[float, int]]:
+        """(weight, insults) of each clause that the composed machine accepts."""
+        state, weight, hits = 0, 0.0, 0
         for token in [*tokens, "."]:
-            if token in _CLAUSE_END:
-                if threat and aimed:
-                    weight, hits = weight + 1.0, hits + 1
-                if hits:
-                    yield weight * (REPORTED if reported else 1.0) * (AIMED if aimed else 1.0), hits, aimed
-                # Reported speech goes on past a colon, as in: he said: ...
-                negated, reported, aimed, threat, weight, hits = 0, reported and token == ":", False, False, 0.0, 0
-                continue
-            if w := self.insult(token):
-                weight += w * (NEGATED if negated else 1.0)
+            w = self.insult(token)
+            x = _CLASS.get(token, 0) | (INSULT if w else 0)
+            state, word, clause, added, accepts = MACHINE[state][x]
+            if w:
+                weight += w * word
                 hits += 1
-            if token in NEGATION:
-                negated = REACH
-            else:
-                negated = max(0, negated - 1)
-            reported = reported or token in REPORT
-            aimed = aimed or token in TARGET
-            threat = threat or token in THREAT
+            if x & END:
+                if accepts:
+                    yield (weight + added) * clause, hits + (added > 0)
+                weight, hits = 0.0, 0
 
     def features(self, text: str | None) -> list[float]:
         """What the matched clauses of a text amount to; zeros where none matches."""
         tokens = _TOKEN.findall((text or "").lower())
         kinds = set(tokens)
-        insults = [w for t in kinds if (w := self.insult(t))]
-        if not insults and kinds.isdisjoint(THREAT):
+        own = [w for t in kinds if (w := self.insult(t))]
+        if not own and kinds.isdisjoint(THREAT):
             return [0.0] * FEATURES
         found = list(self.clauses(tokens))
         if not found:
             return [0.0] * FEATURES
-        weights = [w for w, _, _ in found]
-        hits = sum(n for _, n, _ in found)
+        weights = [w for w, _ in found]
+        hits = sum(n for _, n in found)
         top = sorted(weights, reverse=True)[:3]
         return [
             math.log1p(sum(weights)),
             max(weights),
             sum(top),
             math.log1p(hits),
-            math.log1p(sum(sorted(insults, reverse=True)[:5])),
-            float(len(insults) >= 2),
+            math.log1p(sum(sorted(own, reverse=True)[:5])),
+            float(len(own) >= 2),
             math.log1p(100 * hits / len(tokens)),
             1.0,
         ]

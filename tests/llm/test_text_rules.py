@@ -127,11 +127,13 @@ def test_languages_held_out(spark):
 
 def test_grammar_clauses():
     g = toxicity.Grammar({"moron": 4.0, "scum": 4.0}, {"idiot": 3.0})
-    score = lambda text: sum(w for w, _, _ in g.clauses(toxicity._TOKEN.findall(text.lower())))
+    score = lambda text: sum(w for w, _ in g.clauses(toxicity._TOKEN.findall(text.lower())))
     plain = score("such a moron here.")
     assert plain == 4.0 and g.insult("idiotic") == 3.0
     assert score("you are a moron.") > plain > score("not a moron.") > 0
     assert score('he said: moron.') < plain
+    assert score("it said: moron.") == score("it said moron.") < plain == score("it said. moron.")
+    assert score("not one two moron.") < plain == score("not one two three moron.")
     assert score("nothing here. words only!") == 0
     assert score("i will kill you.") > 0 and score("kill the lights.") == 0
     assert g.features(None) == [0.0] * toxicity.FEATURES == g.features("") == g.features("clean words")
