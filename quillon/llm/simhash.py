@@ -274,7 +274,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """`docs` with one row of each near-duplicate group; columns as they came, repeated rows once."""
     found = near_duplicates(docs, id_col, text_col, shingle, distance).where("is_kept")
-    keep = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    keep = stored(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows")), "kept")
     rows = docs.withColumn("__own_hash", F.xxhash64(text_col)).withColumn("__own_id", F.col(id_col).cast("long"))
     same = rows.__own_id.eqNullSafe(keep["__id"]) & (rows.__own_hash == keep["__hash"])
-    return rows.join(keep, same, "left_semi").dropDuplicates(["__own_id", "__own_hash"]).drop("__own_id", "__own_hash")
+    rows = rows.join(keep, same, "left_semi")
+    if not keep.where("__rows > 1").isEmpty():  # texts are dealt anew only where kept rows repeat
+        rows = rows.dropDuplicates(["__own_id", "__own_hash"])
+    return rows.drop("__own_id", "__own_hash")
