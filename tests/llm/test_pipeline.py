@@ -87,3 +87,34 @@ def test_run(spark, stages):
     count = lambda df: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert count(corpus_pipeline.run(spark, SF)) == count(stages[-1])
     assert pii.pseudonymised(stages[3]).count() == stages[3].count()
+
+
+ODD = [
+    (1, "plain words " * 30, "en", "a", 360), (1, "plain words " * 30, "en", "a", 360), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "no id 4845168114407329", "en", "a", 20),
+    (None, None, None, None, None), (4, "mail jan.doe@mail.example.com " + "é " * 20, "fr", None, 5), (5, "w " * 60_000, "xx", "long", 120_000), (6, "x" * 300_000, "xx", "long", 300_000),
+    (7, "tie one two three four", "en", "a", 1), (8, "tie one two three four", "en", "a", 1), (9, "\n\n \t", "en", "a", 4),
+]
+CLASHES = ["score", "size", "copies", "taken", "fp", "key", "part", "u", "q", "target", "rank", "length", "toxic", "words", "label", "first"]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+@pytest.mark.parametrize("labelled", [True, False])
+def test_odd_rows(spark, tmp_path, rows, labelled):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables: stages run and keep their columns."""
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(1, 1, 0), (3, None, None), (4, 1, 1), (None, 0, 1), (99, 0, 1)] if labelled else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = plain
+    for name in CLASHES:
+        docs = docs.withColumn(name, corpus_pipeline.F.lit("mine"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "odd")
+        assert docs.columns == columns, name
+        assert all(r[c] == "mine" for r in docs.select(*CLASHES).collect() for c in CLASHES)
+        if name == "near_duplicates" and rows:
+            kept = {(r.doc_id, r.text) for r in docs.collect()}
+            assert (1, "plain words " * 30) in kept and (8, "tie one two three four") not in kept
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert bool(packed) == bool(rows)
+    assert "4845168114407329" not in "".join(r.text or "" for r in docs.collect())
