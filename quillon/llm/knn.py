@@ -124,7 +124,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     Rows with a null id, a null vector, or a null or non-finite component take no part, and
     vectors of different lengths are compared over the shorter. A repeated id is a candidate as
     often as it occurs, and as a query answers once. Empty tables give no rows; other columns
-    are not read.
+    are not read. Scores are 64-bit: components are taken to lie within 2 ** 20.
     """
     spark = vectors.sparkSession
     ship_code(spark)

@@ -8,7 +8,6 @@ training, and takes the codeword with the least.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,7 +23,6 @@ BUCKETS, ORDERS, BITS = 1 << 14, (1, 2, 3), 15
 LANGUAGES = 200
 UNKNOWN = "und"
 AMBIGUOUS = 0.7
-_NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -80,7 +78,7 @@ class Model:
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous)."""
-        if not text or not self.languages or not _NO_LETTER.sub("", text[:4096]) and not _NO_LETTER.sub("", text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         total, n, raw = np.zeros(len(self.weights)), 0, text.encode("utf-8", "surrogatepass")
         for at in range(0, len(raw), 1 << 20):

@@ -114,7 +114,7 @@ def test_languages_held_out(spark):
     model = langid.train(rows.where(~held))
     got = langid.predict(rows.where(held), model, [F.col("doc_id"), F.col("lang").alias("score_of")]).collect()
     assert sum(r.lang_pred == r.score_of for r in got) >= 0.99 * len(got)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !? \n"), (4, "the of and that with this is"), (4, "the of and that with this is")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 ²½ !? \n"), (4, "the of and that with this is"), (4, "the of and that with this is")], "doc_id long, text string")
     out = sorted(langid.predict(odd, model, [F.col("doc_id")]).collect())
     assert [(r.lang_pred, r.score) for r in out[:3]] == [("und", 0.0)] * 3
     assert out[3] == out[4] and out[3].lang_pred == "en" and 0 <= out[3].score <= 1
