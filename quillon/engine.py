@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 from pathlib import Path
 from typing import Any
@@ -47,9 +48,9 @@ class SemanticEngine:
             text = refs.backticked(view.sql)
             if source:
                 return source.query(self.spark, text)
-            given = {k: self._table(k) for k in self.tables}
-            for name, df in given.items():
-                df.createOrReplaceTempView(name)
+            for name in self.tables:
+                if re.search(rf"\b{re.escape(name)}\b", text):
+                    self._table(name).createOrReplaceTempView(name)
             return self.spark.sql(text)
         if view.table in self.tables:
             return self._table(view.table)
@@ -58,8 +59,11 @@ class SemanticEngine:
         return self.spark.table(refs.table_name(view.table))
 
     def _table(self, name: str) -> DataFrame:
+        """A given table; files are listed once, so a new engine sees new files."""
         got = self.tables[name]
-        return self.spark.read.parquet(got) if isinstance(got, str) else got
+        if isinstance(got, str):
+            got = self.tables[name] = self.spark.read.parquet(got)
+        return got
 
     def planner(self) -> Planner:
         return Planner(self.layer, self.relation, self.today)
