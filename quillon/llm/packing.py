@@ -30,10 +30,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
     enc, part, seen = encoder(path), TaskContext.get().partitionId(), defaultdict(int)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        ids = batch.column(0).to_pylist()
         rows: list[tuple] = []
-        for at in range(0, len(ids), 256):
-            for doc, raw in zip(ids[at : at + 256], enc.ids(texts[at : at + 256].to_pylist()), strict=True):
+        for at, found in enc.groups(batch.column(1)):
+            for doc, raw in zip(ids[at : at + len(found)], found, strict=True):
                 raw += end
                 for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[start : start + 4 * capacity]

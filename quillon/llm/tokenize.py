@@ -1,21 +1,28 @@
-"""Token ids of whole texts with the tokenizers library, word results kept between rows.
+"""Token ids of whole texts with the tokenizers library, each distinct piece once.
 
 The vocabulary's pre-tokenizer never joins text across ASCII white space, so ids of a text are
 the ids of its white-space separated words in order. Texts in the printable ASCII and Latin-1
-letters are cut in Python as the tokenizer's own pattern would, and only words not met before
-go through the library's model; any other text goes through the library whole.
+letters are cut as the tokenizer's own pattern would, and each distinct piece goes through the
+library's model once while a worker remembers it; any other text goes through the library whole.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-
-#: Words that a worker keeps; beyond it the table starts anew. About 200 bytes a word.
-KEEP = 600_000
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: UTF-8 bytes of text whose distinct words are looked up together, and pieces of one call.
+GROUP, CALL = 16_000_000, 2000
+#: Pieces whose ids a worker keeps for later groups; about 50 bytes each.
+KEEP = 1_000_000
+#: Pieces of a plain word, as the vocabulary's own pattern cuts it.
+_PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+)"
+# Fixed value: the pattern of vocabularies that may be cut so.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 _LOWER_WORD_PIPE = {
     "normalizer": ["NFC", "Replace", "Lowercase"],
@@ -32,6 +39,16 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
+def _spread(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start:stop] of every pair in a row, and where each ends, from 0 on."""
+    n = stops - starts
+    ends = np.concatenate([[0], np.cumsum(n)])
+    kind = np.int32 if max(int(ends[-1]), len(flat)) < 2**31 else np.int64
+    source = np.repeat((starts - ends[:-1]).astype(kind), n)
+    source += np.arange(ends[-1], dtype=kind)
+    return flat[source], ends
+
+
 class Encoder:
     """ids(texts) -> little-endian uint32 ids of each text, as bytes. None counts as an empty text."""
 
@@ -49,11 +66,12 @@ class Encoder:
             spec = json.load(file)
         kinds = {k: [x["type"] for x in (spec[k] or {}).get({"normalizer": "normalizers", "pre_tokenizer": "pretokenizers"}[k], [])] for k in _LOWER_WORD_PIPE}
         self.by_word = kinds == _LOWER_WORD_PIPE and spec["model"].get("end_of_word_suffix") == "</w>"
+        self.by_word = self.by_word and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _PATTERN}
         self.ends = np.zeros(max(self.whole.get_vocab(True).values()) + 1, bool)
         for token, i in self.whole.get_vocab(False).items():
             self.ends[i] = token.endswith("</w>")
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.flat, self.stops = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def _plain(self, text: str) -> bool:
         try:
@@ -61,46 +79,86 @@ class Encoder:
         except UnicodeEncodeError:
             return False
 
-    def _model_ids(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at : at + 1000]
-            ids = np.array(self.model.encode(" ".join(part).translate(self.letters), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            for piece, a, b in zip(part, [0, *cuts], cuts, strict=False):
-                out[piece] = raw[a:b]
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > KEEP:
-            self.words.clear()
-        cut = {word: _PIECE.findall(word) for word in new}
-        ids = self._model_ids(list({piece for pieces in cut.values() for piece in pieces}))
-        for word, pieces in cut.items():
-            self.words[word] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+    def _encode(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces in a row, and where each piece ends."""
+        parts = []
+        for i in range(0, len(pieces), CALL):
+            text = " ".join(pieces[i : i + CALL].to_pylist())
+            if not text.isascii():
+                text = text.translate(self.letters)
+            parts.append(np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4"))
+        ids = np.concatenate(parts) if parts else np.empty(0, "<u4")
+        return ids, np.flatnonzero(self.ends[ids]) + 1
+
+    def _known(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a table of pieces, where each starts and ends, in the order of `pieces`; new ones join the table."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        fresh = pieces.filter(pc.is_null(at))
+        if len(fresh):
+            if len(self.pieces) + len(fresh) > KEEP:  # start anew with what is used now
+                fresh, self.pieces, self.flat, self.stops = pieces, self.pieces[:0], self.flat[:0], self.stops[:1]
+            ids, ends = self._encode(fresh)
+            self.stops = np.concatenate([self.stops, len(self.flat) + ends])
+            self.flat = np.concatenate([self.flat, ids])
+            self.pieces = pa.concat_arrays([self.pieces, fresh])
+            at = pc.index_in(pieces, value_set=self.pieces)
+        at = at.to_numpy()
+        return self.flat, self.stops[at], self.stops[at + 1]
+
+    def _model_ids(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct plain words in a row, and where each word ends."""
+        cut = pc.replace_substring_regex(words, _PIECE, r"\1 ")
+        last = np.cumsum(pc.count_substring(cut, " ").to_numpy())
+        pieces = pc.split_pattern(cut, " ").flatten()
+        pieces = pieces.filter(pc.not_equal(pieces, "")).dictionary_encode()
+        flat, starts, stops = self._known(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        ids, ends = _spread(flat, starts[which], stops[which])
+        return ids, ends[last]
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: each distinct word goes through the model once, then to its places."""
+        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        cuts = lists.offsets.to_numpy()
+        words = lists.flatten().dictionary_encode()
+        place = words.indices.to_numpy()
+        flat, ends = self._model_ids(words.dictionary)
+        starts = np.concatenate([[0], ends])[:-1]
+        out, stops = _spread(flat, starts[place], ends[place])
+        raw = out.tobytes()
+        bounds = (4 * stops[cuts]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif self._plain(text):
-                words = text.lower().split()
-                found = list(map(self.words.get, words))
-                if None in found:
-                    new = {w for w, x in zip(words, found, strict=True) if x is None}
-                    if len(self.words) + len(new) > KEEP:
-                        new = set(words)
-                    self._learn(new)
-                    found = list(map(self.words.__getitem__, words))
-                out.append(b"".join(found))
-            else:
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        out, plain = [b""] * len(texts), []
+        for i, text in enumerate(texts):
+            if text and self._plain(text):
+                plain.append(i)
+            elif text:
+                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if plain:
+            for i, raw in zip(plain, self._plain_ids([texts[i] for i in plain]), strict=True):
+                out[i] = raw
         return out
 
+    def groups(self, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """(first row, ids of each row) of consecutive rows with about GROUP bytes of text."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + GROUP, side="right")))
+            yield at, self.ids(texts[at:stop].to_pylist())
+            at = stop
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and worker process."""
     return Encoder(path)
+
+
+def largest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(True).values())

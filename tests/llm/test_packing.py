@@ -6,10 +6,11 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quillon.llm import packing, pfor
+from quillon.llm import packing, pfor, tokenize
 from quillon.llm.tokenize import Encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +39,23 @@ def test_encoder_matches_library(library):
     assert Encoder(PATH).ids(TEXTS) == [ids_of(library, t) for t in TEXTS]
 
 
+@pytest.mark.parametrize("keep", [1_000_000, 40, 1])
+def test_encoder_groups_and_memory(library, monkeypatch, keep):
+    """Groups of rows, and pieces forgotten and met again, change nothing."""
+    monkeypatch.setattr(tokenize, "KEEP", keep)
+    monkeypatch.setattr(tokenize, "GROUP", 300)
+    rng, texts = random.Random(3), list(TEXTS)
+    for _ in range(60):
+        texts.append(" ".join("".join(rng.choices("abéß'.,7", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 40))))
+    enc = Encoder(PATH)
+    assert enc.by_word
+    for _ in range(2):
+        out = [raw for at, found in enc.groups(pa.array(texts)) for raw in found]
+        assert out == [ids_of(library, t) for t in texts]
+    for odd in ([" "], [None], [], ["\n \t"]):
+        assert enc.ids(odd) == [b""] * len(odd)
+
+
 def test_pack_places_every_id(docs, library):
     rows = packing.pack(docs, PATH, capacity=64).collect()
     want = [(d, ids_of(library, t) + b"\1\0\0\0") for d, t in docs.select("doc_id", "text").collect()]
