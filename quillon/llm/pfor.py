@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm.common import fresh_path, ship_code
-from quillon.llm.tokenize import encoder
+from quillon.llm.tokenize import encoder, largest_id
 
 MAGIC = b"QPFOR001"
 BLOCK = 4096
@@ -144,20 +144,33 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else fs.FileSystem.from_uri(path.replace("file:", "file://", 1))
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+    """Ids of each text at `width` bytes, and the number of its file."""
+    enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+    names = ["file", "doc_id", "text_hash", "ids"]
+    for batch in batches:
+        ids = batch.column(0)
+        file = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="left").astype(np.int32)
+        file[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        for at, found in enc.groups(batch.column(2)):
+            n = len(found)
+            raws = [np.frombuffer(raw + end, "<u4").astype(f"<u{width}").tobytes() for raw in found]
+            columns = [pa.array(file[at : at + n]), ids[at : at + n], batch.column(1)[at : at + n], pa.array(raws, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterator[pa.RecordBatch]:
     """One file for each task, under a name of the attempt until it is whole."""
-    task, enc, end = TaskContext.get(), encoder(path), np.array([end_id], "<u4").tobytes()
+    task = TaskContext.get()
     store, base = _store(folder)
     name, writer = f"part-{task.partitionId():06d}.pfor", None
     own = f"{base}/_{name}.{task.taskAttemptId()}"
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 256):
-            if writer is None:
-                store.create_dir(base, recursive=True)
-                writer = Writer(store.open_output_stream(own))
-            for doc, raw in zip(ids[at : at + 256], enc.ids(texts[at : at + 256].to_pylist()), strict=True):
-                writer.add(doc, raw + end)
+        if writer is None and batch.num_rows:
+            store.create_dir(base, recursive=True)
+            writer = Writer(store.open_output_stream(own))
+        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            writer.add(doc, raw if width == 4 else np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
     if writer:
         writer.close()
         writer.sink.close()
@@ -192,10 +205,15 @@ def write_ids(
     spark = docs.sparkSession
     ship_code(spark)
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    dealt = own.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    rows = dealt.mapInArrow(partial(_write, folder=folder, path=tokenizer, end_id=end_id), "part int, name string, docs long, ids long").collect()
+    id_ = F.col(id_col).cast("long").alias("doc_id")
+    # Files are cut at quantiles of the id, a value per file, so that ids move and texts do not.
+    steps = [i / files for i in range(1, files)]
+    cuts = docs.select(id_).agg(F.percentile_approx("doc_id", steps, max(10_000, 4 * files)) if steps else F.lit(None)).first()[0]
+    width = 2 if max(largest_id(tokenizer), end_id) < 1 << 16 else 4
+    own = docs.select(id_, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    encoded = own.mapInArrow(partial(_encoded, path=tokenizer, end_id=end_id, width=width, bounds=sorted(set(cuts or []))), "file int, doc_id long, text_hash long, ids binary")
+    dealt = encoded.repartitionById(files, F.col("file")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash").select("doc_id", "ids")
+    rows = dealt.mapInArrow(partial(_write, folder=folder, width=width), "part int, name string, docs long, ids long").collect()
     return [(r.name, r.docs, r.ids) for r in sorted(rows, key=lambda r: r.part)]
 
 
