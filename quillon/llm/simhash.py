@@ -30,21 +30,24 @@ BLOCK = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """SimHash of one UTF-8 text; 0 where it has no word. Repeated shingles count again."""
+def shingle_hashes(text: bytes | None, shingle: int) -> bytes:
+    """Eight bytes for each shingle of one UTF-8 text, in order; nothing where it has no word."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     if len(words) <= shingle:
-        digests = [xxh64_digest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes) + np.arange(len(words))
-        starts = (ends - sizes)[: 1 - shingle].tolist()
-        digests = list(map(xxh64_digest, map(joined.__getitem__, map(slice, starts, ends[shingle - 1 :].tolist())), repeat(SEED)))
+        return xxh64_digest(joined, SEED)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes) + np.arange(len(words))
+    starts = (ends - sizes)[: 1 - shingle].tolist()
+    return b"".join(map(xxh64_digest, map(joined.__getitem__, map(slice, starts, ends[shingle - 1 :].tolist())), repeat(SEED)))
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """SimHash of one UTF-8 text; 0 where it has no word. Repeated shingles count again."""
     total = np.zeros(64, np.int64)
-    hashes = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
+    hashes = np.frombuffer(shingle_hashes(text, shingle), np.uint8).reshape(-1, 8)
     for i in range(0, len(hashes), 1 << 16):
         total += np.unpackbits(hashes[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
@@ -271,9 +274,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """`docs` with one row of each near-duplicate group; columns as they came, repeated rows once."""
-    found = near_duplicates(docs, id_col, text_col, shingle, distance).where("is_kept")
+def rows_kept(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that `found` (doc_id, text_hash, is_kept) keeps; columns as they came, repeated rows once."""
+    found = found.where("is_kept")
     keep = stored(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows")), "kept")
     rows = docs.withColumn("__own_hash", F.xxhash64(text_col)).withColumn("__own_id", F.col(id_col).cast("long"))
     same = rows.__own_id.eqNullSafe(keep["__id"]) & (rows.__own_hash == keep["__hash"])
@@ -281,3 +284,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     if not keep.where("__rows > 1").isEmpty():  # texts are dealt anew only where kept rows repeat
         rows = rows.dropDuplicates(["__own_id", "__own_hash"])
     return rows.drop("__own_id", "__own_hash")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """`docs` with one row of each near-duplicate group; columns as they came, repeated rows once."""
+    return rows_kept(docs, near_duplicates(docs, id_col, text_col, shingle, distance), id_col, text_col)
