@@ -1,11 +1,12 @@
-"""Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
+"""Mixing sources to target weights by random order sampling, in DataFrame operations only.
 
 A source with target T and size S is taken T/S times: every document gets floor(T/S) certain
-copies, and the fraction left is a Pareto sample. Documents are ranked by
-q = (u / (1 - u)) / (p / (1 - p)) with u a number drawn from the id and p the inclusion
-probability, and the sample is the head of that order. A hot source is never ordered as a
-whole: q / (1 + q) is cut into buckets, sizes are summed by bucket, and only documents of the
-bucket that holds the target are ordered.
+copies, and the fraction left is the head of a random order. A Pareto order would rank by
+(u / (1 - u)) / (p / (1 - p)) with u a number drawn from the id and p the inclusion probability;
+p is one number for a whole source here and only documents of one source are ranked together,
+so that order is the order of u itself. A hot source is never ordered as a whole: u is cut
+into buckets, sizes are summed by bucket, and only documents of the bucket where a head ends
+are ordered. The result does not depend on the buckets.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ LIMIT = 2
 #: Documents of a source that share a bucket, about; and the most buckets of a source.
 BUCKET, BUCKETS = 1024, 1 << 16
 ROUNDS = 4
+#: For each round: what was left, and the place where its head ended.
+CUTS = "array<struct<left:double,end:struct<bucket:int,u:double,none:boolean,id:bigint,size:bigint,row:bigint>>>"
 
 
 def word_count(text: Column) -> Column:
@@ -56,18 +59,47 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return by.select("source", "docs", "source_size", target.alias("target"))
 
 
-def _with_cut(sizes: DataFrame, by: DataFrame) -> DataFrame:
-    """Each document with its source's figures, q's bucket, and where the sample ends."""
-    same = sizes.source.eqNullSafe(by.source)
-    whole = F.when(F.col("target") >= 2 * F.col("source_size"), 2).when(F.col("target") >= F.col("source_size"), 1).otherwise(0)
-    by = by.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    by = by.withColumn("p", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.coalesce(F.try_divide("need", F.col("source_size").cast("double")), F.lit(0.0)))))
-    by = by.withColumn("buckets", F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.floor(F.col("docs") / BUCKET).cast("int"))))
-    docs = sizes.join(by.withColumnRenamed("source", "of_source"), sizes.source.eqNullSafe(F.col("of_source")), "left").drop("of_source")
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    docs = docs.withColumn("q", q / (1 + q))
-    # Buckets even in u, which has the order of q within a source.
-    return docs.withColumn("bucket", F.least(F.floor(F.col("u") * F.col("buckets")).cast("int"), F.col("buckets") - 1))
+def _same(docs: DataFrame, by: DataFrame) -> DataFrame:
+    """Each document with the figures of its source."""
+    return docs.join(by.withColumnRenamed("source", "of_source"), docs.source.eqNullSafe(F.col("of_source")), "left").drop("of_source")
+
+
+def _key(bucket: Column, u: Column) -> Column:
+    """Place in the order: by u, then id, size and row. Buckets are even in u, so they have its order."""
+    return F.struct(bucket.alias("bucket"), u.alias("u"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("size").alias("size"), F.col("row").alias("row"))
+
+
+def _bound(bucket: Column) -> Column:
+    """A place before all of a bucket."""
+    return F.struct(bucket.alias("bucket"), F.lit(-1.0).alias("u"), F.lit(False).alias("none"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("row"))
+
+
+def _fill(docs: DataFrame, by: DataFrame) -> DataFrame:
+    """One round: `by` with what is left and, in `cuts`, one more (left, end) of a head that was taken.
+
+    The head of the order among all documents that are not taken and fit into what is left, as
+    far as their sum fits too. Sums by bucket find the bucket where it ends; only that one is ordered.
+    """
+    open_ = _same(docs, by).where((F.col("left") > 0) & (F.col("size") <= F.col("left")) & ~_taken())
+    sums = open_.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
+    over = F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))
+    ends = stored(sums.groupBy("source").agg(F.min(over).alias("c"), F.sum("words").alias("all")), "ends")
+    last = _same(open_, ends).where("bucket = c.bucket").withColumn("key", _key(F.col("bucket"), F.col("u")))
+    order = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("sum", F.col("c.before") + F.sum("size").over(order)).where("sum <= left")
+    last = last.groupBy("source").agg(F.max("key").alias("end"), F.max("sum").alias("gain"))
+    found = _same(ends, last)
+    end = F.coalesce("end", F.when(F.col("c").isNull(), _bound(F.lit(BUCKETS))).otherwise(_bound(F.col("c.bucket"))))
+    gain = F.coalesce("gain", "c.before", "all")
+    by = _same(by, found.select("source", end.alias("end"), gain.alias("gain")))
+    cuts = F.when(F.col("end").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array(F.struct("left", "end"))))
+    return stored(by.withColumn("cuts", cuts).withColumn("left", F.col("left") - F.coalesce("gain", F.lit(0))).drop("end", "gain"), "filled")
+
+
+def _taken() -> Column:
+    key = _key(F.col("bucket"), F.col("u"))
+    return F.exists("cuts", lambda c: (F.col("size") <= c["left"]) & (key <= c["end"]))
 
 
 def mix(
@@ -83,10 +115,10 @@ def mix(
     """One row per row of `docs`: doc_id, text_hash, size, source_size, target, copies, taken.
 
     Size is the number of words (null or empty text: 0). copies is the certain copies and one
-    more for sampled documents; taken = copies * size. After the head of the Pareto order, the
+    more for sampled documents; taken = copies * size. After the head of the order of u, the
     next documents of the order that still fit are added, then the one document that comes
     nearest to what is left, so a source misses its target by less than its smallest unused
-    document or so. Ties in q are ordered by id and size; a null id draws as one value; a null source is a source of
+    document or so. Ties in u are ordered by id and size; a null id draws as one value; a null source is a source of
     its own, last in order. An empty table gives no rows; other columns are not read.
     """
     own = docs.select(
@@ -95,34 +127,23 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
     )
-    sizes = stored(own.withColumn("u", draw(F.col("doc_id"), seed)), "sizes")
-    by = stored(targets(sizes, weights, share, limit), "targets")
-    placed = _with_cut(sizes, by)
-
-    # Where in its buckets does a source reach what it needs?
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    cut = sums.withColumn("upto", upto).where(F.col("upto") >= F.col("need")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("c"))
-    cut = cut.select(F.col("source").alias("cut_source"), F.col("c.bucket").alias("cut"), F.col("c.before").alias("before"))
-    placed = placed.join(cut, placed.source.eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    placed = placed.withColumn("cut", F.coalesce("cut", F.col("buckets")))  # rounding: all are needed
-    sure = placed.where("bucket != cut").withColumn("extra", (F.col("bucket") < F.col("cut")).cast("int"))
-
-    last = placed.where("bucket = cut").withColumn("left", F.col("need") - F.col("before")).withColumn("extra", F.lit(0))
-    order = Window.partitionBy("source").orderBy("q", "u", F.col("doc_id").asc_nulls_last(), "size")
-    upto, group = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("source")
+    own = own.withColumn("u", draw(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id())
+    sizes = stored(own, "sizes")
+    by = targets(sizes, weights, share, limit)
+    whole = F.when(F.col("target") >= 2 * F.col("source_size"), 2).when(F.col("target") >= F.col("source_size"), 1).otherwise(0)
+    by = by.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    by = by.withColumn("buckets", F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.floor(F.col("docs") / BUCKET).cast("int"))))
+    by = stored(by.withColumn("cuts", F.array().cast(CUTS)), "targets")
+    placed = _same(sizes, by.select("source", "buckets"))
+    placed = placed.withColumn("bucket", F.least(F.floor(F.col("u") * F.col("buckets")).cast("int"), F.col("buckets") - 1)).drop("buckets")
     for _ in range(ROUNDS):
-        fits = (F.col("extra") == 0) & (F.col("left") > 0) & (F.col("size") <= F.col("left"))
-        last = last.withColumn("sum", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(upto)).withColumn("now", fits & (F.col("sum") <= F.col("left")))
-        last = last.withColumn("gain", F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(group))
-        last = last.withColumn("extra", F.when(F.col("now"), 1).otherwise(F.col("extra"))).withColumn("left", F.col("left") - F.col("gain"))
-    near = F.when((F.col("extra") == 0) & (F.abs(F.col("size") - F.col("left")) < F.col("left")), F.abs(F.col("size") - F.col("left")))
-    last = last.withColumn("near", near)
-    first = F.row_number().over(Window.partitionBy("source").orderBy(F.col("near").asc_nulls_last(), "q", "u", F.col("doc_id").asc_nulls_last(), "size"))
-    last = last.withColumn("extra", F.when(F.col("near").isNotNull() & (first == 1), 1).otherwise(F.col("extra")))
-
-    names = ["doc_id", "text_hash", "size", "source_size", "target", "whole", "extra"]
-    both = sure.select(names).union(last.select(names))
+        by = _fill(placed, by)
+
+    rest = F.abs(F.col("size") - F.col("left"))
+    key = _key(F.col("bucket"), F.col("u"))
+    near = _same(placed, by).where(~_taken() & (rest < F.col("left"))).groupBy("source").agg(F.min(F.struct(rest.alias("rest"), key.alias("key"))).alias("near"))
+    by = stored(_same(by, near), "targets")
+    both = _same(placed, by).withColumn("extra", (_taken() | F.coalesce(key == F.col("near.key"), F.lit(False))).cast("int"))
     copies = (F.col("whole") + F.col("extra")).cast("int")
     return both.select("doc_id", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
@@ -140,7 +161,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def oracle(weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: str = "mix:") -> str:
-    """The same in DuckDB SQL over `documents`, for tables whose sources have fewer than 2 * BUCKET rows."""
+    """The same in DuckDB SQL over `documents`."""
     rounds, last = [], "r0"
     window = "PARTITION BY source ORDER BY q, doc_id NULLS LAST, size"
     for i in range(1, ROUNDS + 1):

@@ -87,3 +87,23 @@ def test_empty(spark):
     assert mixing.mix(docs).count() == 0 and mixing.mixed(docs).count() == 0
     nothing = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.taken, r.target) for r in mixing.mix(nothing).collect()] == [(0, 0.0), (0, 0.0)]
+
+
+@pytest.mark.parametrize(("count", "bucket"), [(9000, 1024), (700, 16)])
+def test_registered_sql_holds_for_hot_sources(spark, monkeypatch, count, bucket):
+    """The same documents as the SQL takes, whatever the number of documents of a source."""
+    import random
+
+    import duckdb
+
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(i, " ".join(["w"] * min(3000, int(rng.paretovariate(0.8) * 20))), "cab"[(i % 4) % 3]) for i in range(count)]
+        documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(documents).collect())
+        table = documents.toArrow()
+        con = duckdb.connect()
+        con.register("documents", table)
+        want = sorted((r[0], r[1], r[4]) for r in con.execute(mixing.oracle()).fetchall())
+        assert got == want
