@@ -1,28 +1,27 @@
-"""Mixing sources to target weights by random order sampling, in DataFrame operations only.
-
-A source with target T and size S is taken T/S times: every document gets floor(T/S) certain
-copies, and the fraction left is the head of a random order. A Pareto order would rank by
-(u / (1 - u)) / (p / (1 - p)) with u a number drawn from the id and p the inclusion probability;
-p is one number for a whole source here and only documents of one source are ranked together,
-so that order is the order of u itself. A hot source is never ordered as a whole: u is cut
-into buckets, sizes are summed by bucket, and only documents of the bucket where a head ends
-are ordered. The result does not depend on the buckets.
+"""Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
+
+A source with target T and size S gets floor(T / S) certain whole copies of every document. What
+is left, fewer than S words, is a sample of unequal probabilities: a document's inclusion
+probability grows with the square root of its size, scaled so that the expected words are
+those left; documents that would reach 1 are certain and taken out, and the rest is scaled anew.
+The others are ranked by the odds of a random number over the odds of their inclusion,
+(u / (1 - u)) / (p / (1 - p)), and the head of that order as large as what is left is taken. Two
+places stay for the words still missing: the largest document that fits, and then the one that
+comes nearest.
+
+A hot source is never ordered in one task: rows are dealt by ranges of the order, words are
+summed by range, and only the range where a head ends is ordered. Ranges do not change results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import free_name, running, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 LIMIT = 2
-#: Documents of a source that share a bucket, about; and the most buckets of a source.
-BUCKET, BUCKETS = 1024, 1 << 16
-ROUNDS = 4
-#: For each round: what was left, and the place where its head ended.
-CUTS = "array<struct<left:double,end:struct<bucket:int,u:double,none:boolean,id:bigint,size:bigint,row:bigint>>>"
 
 
 def word_count(text: Column) -> Column:
@@ -30,9 +29,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(id_col: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on id and seed alone; 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null"))).cast("binary"))
+def draw(id_col: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on the id alone (without one, on the text); 52 bits of an MD5."""
+    name = F.coalesce(id_col.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
+    digest = F.md5(F.concat(F.lit(seed), name).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
@@ -43,19 +43,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     sizes. A source that would get more than `limit` times its size stops there; sorted by
     the level at which they stop, the first prefix of stopped sources whose common level for
     the rest stops none of them is the answer, so one running sum replaces rounds of resharing.
+    Sources may be many (hosts): running sums go by ranges.
     """
-    by = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1))
+    by = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    by = running(by, [F.col("source").asc_nulls_last()], {"turn": "one"}, "sources")
+    by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("turn") - 1) % len(weights) + 1).cast("int")))
     by = by.withColumn("cap", (F.col("source_size") * limit).cast("double")).withColumn("stop", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("stop", F.col("source").asc_nulls_last())
-    so_far, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every) * share - F.coalesce(F.sum("cap").over(so_far), F.lit(0.0))
-    free = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    by = by.withColumn("place", F.row_number().over(order)).withColumn("level", left / free)
-    fits = F.when(F.col("level") <= F.col("stop"), F.struct("place", "level"))
-    by = by.withColumn("found", F.min(fits).over(every))
-    target = F.when(F.col("found.place").isNull() | (F.col("place") < F.col("found.place")), F.col("cap")).otherwise(F.col("weight") * F.col("found.level"))
+    by = running(by, [F.col("stop"), F.col("source").asc_nulls_last()], {"place": "one", "caps": "cap", "weights": "weight"}, "sources")
+    every = by.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, free = float(every.size or 0), float(every.weight or 0)
+    level = (F.lit(total) * share - (F.col("caps") - F.col("cap"))) / (F.lit(free) - (F.col("weights") - F.col("weight")))
+    by = stored(by.withColumn("level", level), "levels")
+    found = by.where("level <= stop").agg(F.min(F.struct("place", "level")).alias("f")).first().f
+    target = F.col("cap") if found is None else F.when(F.col("place") < found.place, F.col("cap")).otherwise(F.col("weight") * F.lit(found.level))
     return by.select("source", "docs", "source_size", target.alias("target"))
 
 
@@ -64,42 +64,51 @@ def _same(docs: DataFrame, by: DataFrame) -> DataFrame:
     return docs.join(by.withColumnRenamed("source", "of_source"), docs.source.eqNullSafe(F.col("of_source")), "left").drop("of_source")
 
 
-def _key(bucket: Column, u: Column) -> Column:
-    """Place in the order: by u, then id, size and row. Buckets are even in u, so they have its order."""
-    return F.struct(bucket.alias("bucket"), u.alias("u"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("size").alias("size"), F.col("row").alias("row"))
+def _root(size: Column) -> Column:
+    """The whole part of the root of a size: documents with one root have one inclusion probability."""
+    return F.floor(F.sqrt(size.cast("double"))).cast("long")
 
 
-def _bound(bucket: Column) -> Column:
-    """A place before all of a bucket."""
-    return F.struct(bucket.alias("bucket"), F.lit(-1.0).alias("u"), F.lit(False).alias("none"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("row"))
+def inclusion(sizes: DataFrame, by: DataFrame) -> DataFrame:
+    """`by` (source, left, ...) with scale, certain and need.
 
-
-def _fill(docs: DataFrame, by: DataFrame) -> DataFrame:
-    """One round: `by` with what is left and, in `cuts`, one more (left, end) of a head that was taken.
-
-    The head of the order among all documents that are not taken and fit into what is left, as
-    far as their sum fits too. Sums by bucket find the bucket where it ends; only that one is ordered.
+    A document with root x has the inclusion probability scale * x, and 1 from x = certain on;
+    need is what certain documents leave of `left`. A source has a row for each root here, and
+    those are few: roots of sizes, not sizes or documents.
     """
-    open_ = _same(docs, by).where((F.col("left") > 0) & (F.col("size") <= F.col("left")) & ~_taken())
-    sums = open_.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-    sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
-    over = F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))
-    ends = stored(sums.groupBy("source").agg(F.min(over).alias("c"), F.sum("words").alias("all")), "ends")
-    last = _same(open_, ends).where("bucket = c.bucket").withColumn("key", _key(F.col("bucket"), F.col("u")))
-    order = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("sum", F.col("c.before") + F.sum("size").over(order)).where("sum <= left")
-    last = last.groupBy("source").agg(F.max("key").alias("end"), F.max("sum").alias("gain"))
-    found = _same(ends, last)
-    end = F.coalesce("end", F.when(F.col("c").isNull(), _bound(F.lit(BUCKETS))).otherwise(_bound(F.col("c.bucket"))))
-    gain = F.coalesce("gain", "c.before", "all")
-    by = _same(by, found.select("source", end.alias("end"), gain.alias("gain")))
-    cuts = F.when(F.col("end").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array(F.struct("left", "end"))))
-    return stored(by.withColumn("cuts", cuts).withColumn("left", F.col("left") - F.coalesce("gain", F.lit(0))).drop("end", "gain"), "filled")
-
-
-def _taken() -> Column:
-    key = _key(F.col("bucket"), F.col("u"))
-    return F.exists("cuts", lambda c: (F.col("size") <= c["left"]) & (key <= c["end"]))
+    roots = sizes.groupBy("source", _root(F.col("size")).alias("x")).agg(F.sum("size").alias("words")).where("x > 0")
+    rows = _same(roots, by.select("source", "left")).where("left > 0")
+    down = Window.partitionBy("source").orderBy(F.col("x").desc())
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    below = F.sum(F.col("x") * F.col("words")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast("double")
+    rows = rows.withColumn("need", F.col("left") - above).withColumn("scale", F.col("need") / below)
+    first = F.max(F.when(F.col("scale") * F.col("x") < 1, F.struct("x", "scale", "need"))).alias("f")
+    found = rows.groupBy("source").agg(first)
+    return _same(by, found).select(*by.columns, F.col("f.scale").alias("scale"), (F.col("f.x") + 1).alias("certain"), F.col("f.need").alias("need"))
+
+
+def _key() -> Column:
+    """Place in the order of a source: by odds ratio, then id, size and row."""
+    return F.struct("q", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "size", "row")
+
+
+def _ends(open_: DataFrame) -> DataFrame:
+    """(source, end, gain): the last place of the head of each source's order whose words fit into `need`, and those words."""
+    order = [F.col("source"), F.col("key")]
+    dealt = stored(open_.select("source", "key", "size", "need").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
+    parts = dealt.groupBy("source", "part").agg(F.sum("size").alias("words"), F.max("key").alias("last"), F.first("need").alias("need"))
+    along = Window.partitionBy("source").orderBy("part")
+    parts = parts.withColumn("upto", F.sum("words").over(along)).withColumn("before", F.lag("last").over(along))
+    cut = F.min(F.when(F.col("upto") > F.col("need"), F.struct("part", (F.col("upto") - F.col("words")).alias("words"), "before"))).alias("cut")
+    ends = stored(parts.groupBy("source").agg(cut, F.sum("words").alias("words"), F.max("last").alias("last")), "cuts")
+    inside = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _same(dealt, ends.select("source", "cut")).where("part = cut.part")
+    rows = rows.withColumn("sum", F.col("cut.words") + F.sum("size").over(inside)).where("sum <= need")
+    rows = rows.groupBy("source").agg(F.max("key").alias("end"), F.max("sum").alias("gain"))
+    whole = F.col("cut").isNull()
+    end = F.coalesce("end", F.when(whole, F.col("last")).otherwise(F.col("cut.before")))
+    gain = F.coalesce("gain", F.when(whole, F.col("words")).otherwise(F.col("cut.words")))
+    return _same(ends, rows).select("source", end.alias("end"), gain.alias("gain"))
 
 
 def mix(
@@ -114,11 +123,10 @@ def mix(
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, text_hash, size, source_size, target, copies, taken.
 
-    Size is the number of words (null or empty text: 0). copies is the certain copies and one
-    more for sampled documents; taken = copies * size. After the head of the order of u, the
-    next documents of the order that still fit are added, then the one document that comes
-    nearest to what is left, so a source misses its target by less than its smallest unused
-    document or so. Ties in u are ordered by id and size; a null id draws as one value; a null source is a source of
+    Size is the number of words of the whole text, however long (null or empty: 0). copies is
+    the certain copies and one more for sampled documents; taken = copies * size. A source misses its target by
+    less than the document after its head, mostly by less than a word in a hundred. Ties in the odds ratio are
+    ordered by id and size; rows without an id draw by their text; a null source is a source of
     its own, last in order. An empty table gives no rows; other columns are not read.
     """
     own = docs.select(
@@ -126,25 +134,32 @@ def mix(
         F.xxhash64(text_col).alias("text_hash"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
+        draw(F.col(id_col).cast("long"), F.col(text_col), seed).alias("u"),
     )
-    own = own.withColumn("u", draw(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id())
-    sizes = stored(own, "sizes")
+    sizes = stored(own.withColumn("row", F.monotonically_increasing_id()), "sizes")
     by = targets(sizes, weights, share, limit)
-    whole = F.when(F.col("target") >= 2 * F.col("source_size"), 2).when(F.col("target") >= F.col("source_size"), 1).otherwise(0)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     by = by.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    by = by.withColumn("buckets", F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.floor(F.col("docs") / BUCKET).cast("int"))))
-    by = stored(by.withColumn("cuts", F.array().cast(CUTS)), "targets")
-    placed = _same(sizes, by.select("source", "buckets"))
-    placed = placed.withColumn("bucket", F.least(F.floor(F.col("u") * F.col("buckets")).cast("int"), F.col("buckets") - 1)).drop("buckets")
-    for _ in range(ROUNDS):
-        by = _fill(placed, by)
-
-    rest = F.abs(F.col("size") - F.col("left"))
-    key = _key(F.col("bucket"), F.col("u"))
-    near = _same(placed, by).where(~_taken() & (rest < F.col("left"))).groupBy("source").agg(F.min(F.struct(rest.alias("rest"), key.alias("key"))).alias("near"))
-    by = stored(_same(by, near), "targets")
-    both = _same(placed, by).withColumn("extra", (_taken() | F.coalesce(key == F.col("near.key"), F.lit(False))).cast("int"))
-    copies = (F.col("whole") + F.col("extra")).cast("int")
+    by = stored(inclusion(sizes, stored(by, "targets")), "inclusion")
+
+    p = F.col("scale") * _root(F.col("size"))
+    ranked = (F.col("left") > 0) & (F.col("scale") > 0) & (F.col("size") > 0) & (_root(F.col("size")) < F.col("certain"))
+    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    placed = _same(sizes, by).withColumn("ranked", F.coalesce(ranked, F.lit(False))).withColumn("q", F.when(F.col("ranked"), odds))
+    placed = placed.withColumn("key", F.when(F.col("ranked"), _key()))
+    by = stored(_same(by, _ends(placed.where("ranked"))), "ends")
+    placed = _same(placed.drop(*[c for c in by.columns if c != "source"]), by)
+    head = F.coalesce(F.col("key") <= F.col("end"), F.lit(False))
+    missing = F.col("need") - F.coalesce("gain", F.lit(0))
+    open_ = placed.where(F.col("ranked") & ~head).withColumn("missing", missing)
+    fit = stored(open_.where("size <= missing").groupBy("source").agg(F.min(F.struct((F.col("missing") - F.col("size")).alias("missing"), "key")).alias("fit")), "fit")
+    open_ = _same(open_, fit).withColumn("missing", F.coalesce("fit.missing", "missing")).where(~F.coalesce(F.col("key") == F.col("fit.key"), F.lit(False)))
+    rest = F.abs(F.col("size") - F.col("missing"))
+    near = stored(open_.where(rest < F.col("missing")).groupBy("source").agg(F.min(F.struct(rest.alias("rest"), "key")).alias("near")), "near")
+    both = _same(_same(placed, fit), near)
+    certain = F.coalesce((F.col("left") > 0) & (F.col("size") > 0) & ~F.col("ranked") & (_root(F.col("size")) >= F.col("certain")), F.lit(False))
+    extra = certain | head | F.coalesce((F.col("key") == F.col("fit.key")), F.lit(False)) | F.coalesce(F.col("key") == F.col("near.key"), F.lit(False))
+    copies = (F.col("whole") + extra.cast("int")).cast("int")
     return both.select("doc_id", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
@@ -153,28 +168,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Rows with equal id and text share the largest number of copies among them.
     """
+    names = {x: free_name(docs.columns, f"__{x}") for x in ("id", "hash", "copies", "copy")}
     plan = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("copies").alias("__copies"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
-    rows = docs.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.drop("__id", "__hash", "__copies", "__copy")
+    plan = plan.groupBy(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"])).agg(F.max("copies").alias(names["copies"]))
+    same = docs[id_col].cast("long").eqNullSafe(F.col(names["id"])) & (F.xxhash64(docs[text_col]) == F.col(names["hash"]))
+    rows = docs.join(plan, same).withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
+    return rows.drop(*names.values())
 
 
 def oracle(weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: str = "mix:") -> str:
-    """The same in DuckDB SQL over `documents`."""
-    rounds, last = [], "r0"
-    window = "PARTITION BY source ORDER BY q, doc_id NULLS LAST, size"
-    for i in range(1, ROUNDS + 1):
-        rounds.append(
-            f"""f{i} AS (SELECT *, extra = 0 AND rest > 0 AND size <= rest AS fits,
-  sum(CASE WHEN extra = 0 AND rest > 0 AND size <= rest THEN size ELSE 0 END) OVER ({window} ROWS UNBOUNDED PRECEDING) AS upto FROM {last}),
-r{i} AS (SELECT doc_id, source, size, source_size, target, whole, q,
-  CASE WHEN fits AND upto <= rest THEN 1 ELSE extra END AS extra,
-  rest - sum(CASE WHEN fits AND upto <= rest THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM f{i})"""
-        )
-        last = f"r{i}"
+    """The same in DuckDB SQL over `documents`, for sources of any size."""
+    order = "PARTITION BY source ORDER BY q, doc_id NULLS LAST, size"
     return f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-  (CAST('0x' || substr(md5('{seed}' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u FROM documents),
+  (CAST('0x' || substr(md5('{seed}' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([{", ".join(map(str, weights))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)}] AS DOUBLE) AS weight,
   CAST({limit} * source_size AS DOUBLE) AS cap FROM s),
@@ -183,10 +189,22 @@ p AS (SELECT *, row_number() OVER o AS place, (CAST(sum(source_size) OVER () AS
   FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
 k AS (SELECT min(place) AS place, arg_min(level, place) AS level FROM p WHERE level <= cap / weight),
 t AS (SELECT p.source, source_size, CASE WHEN k.place IS NULL OR p.place < k.place THEN cap ELSE weight * k.level END AS target FROM p, k),
-c AS (SELECT *, CASE WHEN target >= 2 * source_size THEN 2 WHEN target >= source_size THEN 1 ELSE 0 END AS whole FROM t),
-r0 AS (SELECT d.doc_id, d.source, size, source_size, target, whole, u AS q, 0 AS extra, target - whole * source_size AS rest
+c AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+r AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS rest, CAST(floor(sqrt(size)) AS BIGINT) AS x
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-{", ".join(rounds)},
-n AS (SELECT *, CASE WHEN extra = 0 AND abs(size - rest) < rest THEN abs(size - rest) END AS near FROM {last}),
-z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY near NULLS LAST, q, doc_id NULLS LAST, size) AS first FROM n)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN near IS NOT NULL AND first = 1 THEN 1 ELSE extra END) * size AS BIGINT) AS taken FROM z"""
+h AS (SELECT source, x, rest, CAST(sum(size) AS BIGINT) AS words FROM r WHERE x > 0 AND rest > 0 GROUP BY ALL),
+i AS (SELECT *, rest - CAST(coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS need,
+  CAST(sum(x * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS below FROM h WINDOW o AS (PARTITION BY source ORDER BY x DESC)),
+j AS (SELECT source, max(x) + 1 AS certain, arg_max(need / below, x) AS scale, arg_max(need, x) AS need FROM i WHERE need / below * x < 1 GROUP BY source),
+a AS (SELECT r.*, certain, need, scale * x AS p, coalesce(x >= certain AND rest > 0, false) AS sure, coalesce(rest > 0 AND scale > 0 AND x > 0 AND x < certain, false) AS ranked
+  FROM r LEFT JOIN j ON r.source IS NOT DISTINCT FROM j.source),
+q AS (SELECT *, CASE WHEN ranked THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM a),
+e AS (SELECT *, coalesce(ranked AND sum(size) OVER ({order} ROWS UNBOUNDED PRECEDING) <= need, false) AS head FROM (SELECT * FROM q WHERE ranked)
+  UNION ALL SELECT *, false FROM q WHERE NOT ranked),
+m AS (SELECT *, need - coalesce(sum(size) FILTER (WHERE head) OVER (PARTITION BY source), 0) AS missing FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN ranked AND NOT head AND size <= missing THEN missing - size END NULLS LAST, q NULLS LAST, doc_id NULLS LAST, size) = 1
+  AND ranked AND NOT head AND size <= missing AS fit FROM m),
+g AS (SELECT *, missing - coalesce(max(size) FILTER (WHERE fit) OVER (PARTITION BY source), 0) AS gap FROM f),
+n AS (SELECT *, CASE WHEN ranked AND NOT head AND NOT fit AND abs(size - gap) < gap THEN abs(size - gap) END AS near FROM g),
+z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY near NULLS LAST, q NULLS LAST, doc_id NULLS LAST, size) AS first FROM n)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN sure OR head OR coalesce(fit, false) OR (near IS NOT NULL AND first = 1) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM z"""

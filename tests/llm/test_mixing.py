@@ -35,9 +35,17 @@ def corpus():
     return [*rows, (n, None, "a", "x", 2), (None, "no id here", "a", "x", 2), rows[3]]
 
 
-@pytest.mark.parametrize("bucket", [1024, 16])
-def test_mix(spark, monkeypatch, bucket):
-    monkeypatch.setattr(mixing, "BUCKET", bucket)
+@pytest.fixture(params=[4, 23])
+def ranges(spark, request):
+    """How many ranges the order is dealt by, which must not matter."""
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_mix(spark, ranges):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target int")
     got = mixing.mix(docs).collect()
@@ -72,14 +80,28 @@ def test_whole_copies_and_columns(spark):
     assert abs(words - taken) < 0.02 * taken
 
 
-def test_inclusion_follows_the_draw(spark):
-    """Within a source, what is sampled is the head of the order of the draw, but for the fill at its end."""
-    docs = spark.createDataFrame([(i, "one two three four", f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
-    got = mixing.mix(docs).withColumn("u", mixing.draw(docs.doc_id if False else mixing.F.col("doc_id"), "mix:")).collect()
-    for target in {r.target for r in got}:
-        mine = sorted((r.u, r.copies) for r in got if r.target == target)
-        extra = [c - min(x for _, x in mine) for _, c in mine]
-        assert extra == sorted(extra, reverse=True)
+def test_odds_of_inclusion_decide(spark):
+    """A plain random order would take other documents, and longer documents are taken more often."""
+    import random
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * rng.choice([4, 400])), f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    sql = mixing.oracle().replace("(u / (1 - u)) / (p / (1 - p))", "u")
+    other = {r[0]: r[4] for r in by_sql(docs, sql)}
+    assert sum(other[r.doc_id] != r.taken for r in got) > 50
+    sampled = [r for r in got if r.target < r.source_size]
+    share = lambda size: sum(r.copies for r in sampled if r.size == size) / sum(r.size == size for r in sampled)
+    assert share(400) > 2 * share(4) > 0
+
+
+def by_sql(documents, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    table = documents.toArrow()
+    con.register("documents", table)
+    return con.execute(sql).fetchall()
 
 
 def test_empty(spark):
@@ -89,21 +111,15 @@ def test_empty(spark):
     assert [(r.taken, r.target) for r in mixing.mix(nothing).collect()] == [(0, 0.0), (0, 0.0)]
 
 
-@pytest.mark.parametrize(("count", "bucket"), [(9000, 1024), (700, 16)])
-def test_registered_sql_holds_for_hot_sources(spark, monkeypatch, count, bucket):
-    """The same documents as the SQL takes, whatever the number of documents of a source."""
+def test_registered_sql_holds_for_hot_sources(spark, ranges):
+    """The same documents as the SQL takes, whatever the number of documents of a source and of ranges."""
     import random
 
-    import duckdb
-
-    monkeypatch.setattr(mixing, "BUCKET", bucket)
-    for seed in range(3):
+    for seed, count in ((0, 9000), (1, 700), (2, 40)):
         rng = random.Random(seed)
         rows = [(i, " ".join(["w"] * min(3000, int(rng.paretovariate(0.8) * 20))), "cab"[(i % 4) % 3]) for i in range(count)]
+        rows += [(None, "no id at all " * n, "a") for n in range(1, 20)]
         documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
-        got = sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(documents).collect())
-        table = documents.toArrow()
-        con = duckdb.connect()
-        con.register("documents", table)
-        want = sorted((r[0], r[1], r[4]) for r in con.execute(mixing.oracle()).fetchall())
-        assert got == want
+        key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+        got = sorted(((r.doc_id, r.size, r.taken) for r in mixing.mix(documents).collect()), key=key)
+        assert got == sorted(((r[0], r[1], r[4]) for r in by_sql(documents, mixing.oracle())), key=key)
