@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import dropped, stored
+from quillon.llm.common import dropped, hot_join, stored
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star pass (Kiveris et al., 2014) as joins on minima.
 
     Neighbour lists are never gathered: a node only learns the minimum of its neighbours,
-    which Spark combines before the shuffle, so a hub costs one row per map task.
+    which Spark combines before the shuffle, so a hub costs one row per map task, and its
+    links are dealt over several tasks where they learn its minimum.
     """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     # A larger neighbour now points to the minimum around u.
-    large = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.where("u > v").distinct()
+    large = hot_join(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = stored(large.where("u > v").distinct(), "large")
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = hot_join(large, least, "u", "v").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 

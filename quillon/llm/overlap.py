@@ -1,14 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exact by prefix filtering.
-
-Let every set of n shingles be sorted in one order common to all sets. Two sets with a similarity
-of at least t share at least t * max(n) shingles, so the first n - ceil(t * n) + 1 of each must
-have one in common. Sets that meet in such a shingle are compared in full; no other pair can
-reach t. Any common order is right; shingles found often in a sample come last, which keeps
-the groups that meet small.
-
-In a group every set is first compared with one leader, another one in each group. Only pairs that
-those links leave in different components are then compared, so a dense group of near copies
-costs no square of its size.
+"""SimHash near-duplicates at a Jaccard similarity of word shingles.
+
+Two texts with a similarity of 0.8 have fingerprints about 10 bits apart, too far for keys made of
+a fingerprint alone: they would meet in a share of all pairs. So sets first meet in a shingle,
+then the fingerprints' pigeonring chains prune, and the exact similarity decides.
+
+- Let every set of n shingles be sorted in one order common to all sets. Two sets with a similarity
+  of at least t share at least t * max(n) shingles, so the first n - ceil(t * n) + 1 of each must
+  have one in common. Any common order is right; shingles found often in a sample come last, which
+  keeps the groups that meet small.
+- Of two sets that meet, the chains of fingerprints over their distinct shingles must stay within
+  the budgets of WITHIN bits. A bit differs with a chance of 0.152 at a similarity of 0.8, so a true pair
+  is beyond WITHIN bits with a chance of about 1e-7; two texts without a common shingle are 32 bits apart on average.
+- In a group every set is first compared with one leader, another one in each group. Only pairs that
+  those links leave in different components are then compared, so a dense group of near copies
+  costs no square of its size.
 """
 
 from __future__ import annotations
@@ -23,11 +28,13 @@ from xxhash import xxh64_intdigest
 
 from quillon.llm.common import dropped, ship_code, stored
 from quillon.llm.graph import components
-from quillon.llm.simhash import SEED, rows_kept, shingle_hashes
+from quillon.llm.simhash import SEED, chains_pass, shingle_hashes, with_components
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 NUM, DEN = 4, 5
+#: Bits that fingerprints of similar sets may differ in, and segments of their ring.
+WITHIN, SEGMENTS = 26, 8
 #: Texts whose shingles are counted for the order, about, and the most shingles that it holds. Results do not depend on them.
 SAMPLE, FREQUENT = 8000, 200_000
 #: Up to so many ids of candidates are broadcast, so that no set moves which nothing is compared with.
@@ -47,6 +54,15 @@ def _set(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
     return int(np.uint64(xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64)), grams
 
 
+def _fingerprint(grams: np.ndarray) -> int:
+    """SimHash of distinct shingles, as a signed number."""
+    total = np.zeros(64, np.int64)
+    raw = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)
+    for i in range(0, len(raw), 1 << 16):
+        total += np.unpackbits(raw[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(raw)).tobytes(), "big", signed=True)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Few rows at a time: sets of shingles are larger than their texts."""
     for batch in batches:
@@ -75,10 +91,10 @@ def _counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(gram, sid, n, pos) of the shingles that a set is looked up by; pos is the place in the common order."""
+    """(gram, sid, n, pos, fp) of the shingles that a set is looked up by; pos is the place in the common order."""
     done: set[int] = set()
     for batch in _slices(batches):
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             sid, grams = _set(text, shingle)
             n = len(grams)
@@ -91,10 +107,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndar
                 at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
                 rank = np.where(frequent[at] == grams, often[at], 0)
             first = grams[np.lexsort((grams, rank))[:size]]
-            for column, x in zip(out, (first, np.full(size, sid, np.int64), np.full(size, n, np.int32), np.arange(size, dtype=np.int32)), strict=True):
+            for column, x in zip(out, (first, np.full(size, sid, np.int64), np.full(size, n, np.int32), np.arange(size, dtype=np.int32), np.full(size, _fingerprint(grams), np.int64)), strict=True):
                 column.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["gram", "sid", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["gram", "sid", "n", "pos", "fp"])
 
 
 def _viable(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray) -> np.ndarray:
@@ -103,6 +119,12 @@ def _viable(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray) ->
     return np.minimum(n - pos, n2 - pos2) * (NUM + DEN) >= NUM * (n + n2)
 
 
+def _candidates(n: np.ndarray, pos: np.ndarray, fp: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Those of `at` that can be similar to their partner in `to`: by size and place, then by chains of fingerprints."""
+    ok = np.flatnonzero(_viable(n[at], pos[at], n[to], pos[to]))
+    return at[ok[chains_pass((fp[at[ok]] ^ fp[to[ok]]).view(np.uint64), SEGMENTS, WITHIN)]]
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of batches sorted by the first column, cut between its values only."""
     kept: list[list[np.ndarray]] = []
@@ -131,35 +153,37 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for columns in _whole_groups(batches):
         gram, sid = columns[:2]
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])])
-        gram, sid, n, pos = (x[new] for x in columns)
+        gram, sid, n, pos, fp = (x[new] for x in columns)
         end, use = _ends(gram), np.zeros(len(gram), bool)
         start = np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), np.arange(len(gram)), 0))
         large = end - start > 64
         use[large] = True
         at, step = np.flatnonzero(~large & (np.arange(len(gram)) + 1 < end)), 1
         while len(at):
-            ok = at[_viable(n[at], pos[at], n[at + step], pos[at + step])]
+            ok = _candidates(n, pos, fp, at, at + step)
             use[ok] = use[ok + step] = True
             step += 1
             at = at[at + step < end[at]]
         if not use.any():
             continue
-        gram, sid, n, pos = (x[use] for x in (gram, sid, n, pos))
+        gram, sid, n, pos, fp = (x[use] for x in (gram, sid, n, pos, fp))
         mixed = (gram.view(np.uint64) ^ (sid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
         order = np.lexsort((mixed, gram))
-        gram, sid, n, pos = (x[order] for x in (gram, sid, n, pos))
+        gram, sid, n, pos, fp = (x[order] for x in (gram, sid, n, pos, fp))
         first = np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), np.arange(len(gram)), 0))
-        good = _viable(n, pos, n[first], pos[first]) & (first != np.arange(len(gram)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, sid, n, pos, sid[first], good)], ["gram", "sid", "n", "pos", "lead", "near_lead"])
+        good, follow = np.zeros(len(gram), bool), np.flatnonzero(first != np.arange(len(gram)))
+        good[_candidates(n, pos, fp, follow, first[follow])] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, sid, n, pos, fp, sid[first], good)], ["gram", "sid", "n", "pos", "fp", "lead", "near_lead"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a group that can be similar and are not in one component yet."""
-    for gram, sid, n, pos, label in _whole_groups(batches):
+    for gram, sid, n, pos, fp, label in _whole_groups(batches):
         end = _ends(gram)
         at, step = np.flatnonzero(np.arange(len(gram)) + 1 < end), 1
         while len(at):
-            ok = at[(label[at] != label[at + step]) & _viable(n[at], pos[at], n[at + step], pos[at + step])]
+            apart = at[label[at] != label[at + step]]
+            ok = _candidates(n, pos, fp, apart, apart + step)
             if len(ok):
                 a, b = sid[ok], sid[ok + step]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(gram[ok])], ["a", "b", "gram"])
@@ -203,9 +227,9 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) ->
     sample = texts.where(F.pmod(F.xxhash64("text_hash"), F.lit(spread)) == 0).select("text").mapInArrow(partial(_counts, shingle=shingle), "gram long, n long")
     top = sample.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
     frequent, often = top.gram.to_numpy(np.int64), top.n.to_numpy(np.int64)
-    keys = texts.select("text").mapInArrow(partial(_prefixes, shingle=shingle, frequent=frequent, often=often), "gram long, sid long, n int, pos int")
+    keys = texts.select("text").mapInArrow(partial(_prefixes, shingle=shingle, frequent=frequent, often=often), "gram long, sid long, n int, pos int, fp long")
     keys = keys.repartition("gram").sortWithinPartitions("gram", "sid")
-    buckets = stored(keys.mapInArrow(_buckets, "gram long, sid long, n int, pos int, lead long, near_lead boolean"), "buckets")
+    buckets = stored(keys.mapInArrow(_buckets, "gram long, sid long, n int, pos int, fp long, lead long, near_lead boolean"), "buckets")
 
     seen = nodes.join(buckets.select("sid").distinct(), "sid").select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
     same = texts.doc_id.eqNullSafe(F.col("id")) & (texts.text_hash == F.col("hash"))
@@ -219,7 +243,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) ->
     led = stored(led.groupBy("a", "b").agg(F.min("gram").alias("gram")), "pairs")
     links = _checked(led, own)
     labels = components(links, "a", "b")
-    named = buckets.join(labels, buckets.sid == labels.node, "left").select("gram", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
+    named = buckets.join(labels, buckets.sid == labels.node, "left").select("gram", "sid", "n", "pos", "fp", F.coalesce("label", "sid").alias("label"))
     across = named.repartition("gram").sortWithinPartitions("gram", "sid").mapInArrow(_across, "a long, b long, gram long")
     across = across.groupBy("a", "b").agg(F.min("gram").alias("gram")).join(led.select("a", "b"), ["a", "b"], "left_anti")
     more = _checked(stored(across, "pairs"), own)
@@ -241,17 +265,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = stored(sets.groupBy("sid").agg(first), "nodes")
     labels = components(similar_links(own, nodes, shingle), "a", "b")
-    named = nodes.join(labels, nodes.sid == labels.node, "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
-    of_label = named.groupBy("label").agg(F.min("first").alias("first"))
-    named = named.select("sid", "label").join(of_label, "label").select("sid", "first")
-    return sets.join(named, "sid").select(
+    return with_components(sets, nodes, labels, "sid").select(
         "doc_id",
         "text_hash",
         F.col("first.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("is_kept"),
     )
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """`docs` with one row of each near-duplicate group; columns as they came, repeated rows once."""
-    return rows_kept(docs, near_duplicates(docs, id_col, text_col, shingle), id_col, text_col)

@@ -19,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_digest
 
-from quillon.llm.common import ship_code, stored
+from quillon.llm.common import free_name, hot_join, ship_code, stored
 from quillon.llm.graph import components
 
 SEED = 42
 #: Ways to cut the ring: widths, and budgets that sum to distance - segments + 1.
-CUTS = {4: (16, 16, 16, 16), 3: (21, 21, 22), 2: (32, 32)}
+CUTS = {8: (8,) * 8, 4: (16, 16, 16, 16), 3: (21, 21, 22), 2: (32, 32)}
+#: Cuts that keys are made of.
+KEYED = (4, 3, 2)
 #: Rows with one key that one comparison unit holds; larger buckets are compared block against block.
 BLOCK = 4096
+#: Units of more rows grow trees from node to node; in smaller ones all rows shift along each other. Both try the same chains.
+LARGE = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -77,8 +81,8 @@ def plan(nodes: int, distance: int) -> int:
             total += comb(width, t) * (nodes + 0.01 * nodes * nodes / 2.0 ** (width - t + 1))
         return total
 
-    fit = [m for m in CUTS if m <= distance + 1]
-    return min(fit, key=cost)
+    fit = [m for m in KEYED if m <= distance + 1]
+    return min(fit, key=cost) if fit else 0  # no distance, nothing to link
 
 
 def _segments(m: int) -> list[tuple[int, int]]:
@@ -152,14 +156,24 @@ def _chain_ok(x: np.ndarray, start: np.ndarray, m: int, distance: int) -> np.nda
     return left
 
 
-def _near(group: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Spanning links of one large bucket: each reached node looks only at nodes not reached yet."""
+def chains_pass(x: np.ndarray, segments: int, distance: int) -> np.ndarray:
+    """Which differences `x` of fingerprints pass every chain from some start, as all within `distance` do, and are within it."""
+    good = np.zeros(len(x), bool)
+    for start in range(segments):
+        left = np.flatnonzero(~good)
+        good[left[_chain_ok(x[left], np.full(len(left), start), segments, distance)]] = True
+    return good
+
+
+def _near(group: np.ndarray, start: int, m: int, distance: int) -> Iterator[tuple[int, int]]:
+    """Spanning links of one large bucket: each reached node tries its chains only on nodes not reached yet."""
     rest = group
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             node = front.pop()
-            close = np.bitwise_count(rest ^ node) <= distance
+            close = np.zeros(len(rest), bool)
+            close[_chain_ok(rest ^ node, np.full(len(rest), start), m, distance)] = True
             if close.any():
                 found = rest[close]
                 rest = rest[~close]
@@ -176,9 +190,10 @@ def _links(batches: Iterator[pa.RecordBatch], m: int, distance: int) -> Iterator
         edges = np.flatnonzero(np.diff(unit)) + 1
         first = np.concatenate([[0], edges])
         size = np.diff(np.concatenate([first, [len(unit)]]))
-        for at, n in zip(first[size > 256].tolist(), size[size > 256].tolist()):
-            out.extend((a, b) for a, b in _near(fps[at : at + n], distance) if forest.joins(a, b))
-        size = np.where(size > 256, 1, size)
+        for at, n in zip(first[size > LARGE].tolist(), size[size > LARGE].tolist()):
+            start = int(starts[int(keys[at : at + 1].view(np.uint64)[0] >> np.uint64(40))])
+            out.extend((a, b) for a, b in _near(fps[at : at + n], start, m, distance) if forest.joins(a, b))
+        size = np.where(size > LARGE, 1, size)
         rest = np.repeat(size, np.diff(np.concatenate([first, [len(unit)]])))  # rows of a unit that is done count as alone
         place = np.arange(len(unit)) - np.repeat(first, np.diff(np.concatenate([first, [len(unit)]])))
         alive = np.flatnonzero(place + 1 < rest)
@@ -228,6 +243,8 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """
     count = nodes.count()
     m = plan(count, distance)
+    if not m:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
     spread = max(nodes.rdd.getNumPartitions(), nodes.sparkSession.sparkContext.defaultParallelism)
     keys = nodes.select("fp").repartition(spread, "fp").mapInArrow(partial(_keys, m=m, distance=distance), "key long, fp long")
     heavy = keys.groupBy("key").count().where(F.col("count") > BLOCK).withColumn("n", F.ceil(F.col("count") * 2 / BLOCK).cast("int"))
@@ -252,8 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most `distance` bits. is_kept marks the rows with the smallest (id, text hash) of their
     component; only repeated rows share that mark. A null or empty text has fingerprint zero
     and links like any other; a null id counts as larger than all others (component_id is null
-    only if the whole component has no id). An empty table gives no rows. Other columns of
-    `docs` are not read.
+    only if the whole component has no id). Texts count whole, however long. An empty table gives
+    no rows. Other columns of `docs` are not read. A distance of 0 links equal fingerprints alone.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -262,10 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = stored(fps.groupBy("fp").agg(first), "nodes")
     labels = components(fingerprint_links(nodes, distance), "a", "b")
-    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    of_label = named.groupBy("label").agg(F.min("first").alias("first"))
-    named = named.select("fp", "label").join(of_label, "label").select("fp", "first")
-    return fps.join(named, "fp").select(
+    return with_components(fps, nodes, labels, "fp").select(
         "doc_id",
         "text_hash",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -274,18 +288,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def with_components(rows: DataFrame, nodes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """`rows` (doc_id, text_hash, `key`) with `first`, the first row of their component.
+
+    nodes: `key` and the first row that has it; labels: node, label of those in a component of
+    two or more. Neither a component nor a key with very many rows is one task.
+    """
+    named = stored(nodes.join(labels.withColumnRenamed("node", key), key), "named")
+    of_label = named.groupBy("label").agg(F.min("first").alias("first"))
+    named = hot_join(named.select(key, "label"), of_label, "label", key).select(key, F.col("first").alias("of_label"))
+    every = nodes.join(named, key, "left").select(key, F.coalesce("of_label", "first").alias("first"))
+    return hot_join(rows, stored(every, "firsts"), key, "doc_id")
+
+
 def rows_kept(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of `docs` that `found` (doc_id, text_hash, is_kept) keeps; columns as they came, repeated rows once."""
     found = found.where("is_kept")
     keep = stored(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows")), "kept")
-    rows = docs.withColumn("__own_hash", F.xxhash64(text_col)).withColumn("__own_id", F.col(id_col).cast("long"))
-    same = rows.__own_id.eqNullSafe(keep["__id"]) & (rows.__own_hash == keep["__hash"])
+    own_hash, own_id = free_name(docs.columns, "__own_hash"), free_name(docs.columns, "__own_id")
+    rows = docs.withColumn(own_hash, F.xxhash64(text_col)).withColumn(own_id, F.col(id_col).cast("long"))
+    same = rows[own_id].eqNullSafe(keep["__id"]) & (rows[own_hash] == keep["__hash"])
     rows = rows.join(keep, same, "left_semi")
     if not keep.where("__rows > 1").isEmpty():  # texts are dealt anew only where kept rows repeat
-        rows = rows.dropDuplicates(["__own_id", "__own_hash"])
-    return rows.drop("__own_id", "__own_hash")
+        rows = rows.dropDuplicates([own_id, own_hash])
+    return rows.drop(own_id, own_hash)
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """`docs` with one row of each near-duplicate group; columns as they came, repeated rows once."""
     return rows_kept(docs, near_duplicates(docs, id_col, text_col, shingle, distance), id_col, text_col)
+
+
+def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """`docs` with one row of each group of texts whose `shingle`-word shingles are similar to 0.8 or more; see overlap."""
+    from quillon.llm import overlap  # builds on this module
+
+    return rows_kept(docs, overlap.near_duplicates(docs, id_col, text_col, shingle), id_col, text_col)

@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from quillon.llm import overlap
+from quillon.llm import overlap, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,13 +60,13 @@ def test_groups_equal_all_pairs(spark, monkeypatch, frequent):
     docs = spark.createDataFrame(rows + rows[30:40], "doc_id long, text string, sid string")
     got = {r.doc_id: r.component_id for r in overlap.near_duplicates(docs.repartition(5)).collect()}
     assert got == dict(enumerate(roots))
-    kept = overlap.without_near_duplicates(docs)
+    kept = simhash.without_similar(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert overlap.without_near_duplicates(docs).count() == 0
+    assert simhash.without_similar(docs).count() == 0
 
 
 def test_stage_is_five_words_and_0_8(spark):
@@ -76,3 +76,22 @@ def test_stage_is_five_words_and_0_8(spark):
     want = {rows[i].doc_id for i in brute_groups([r.text for r in rows])}
     got = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
     assert got == Counter(want) and 177 not in got
+
+
+def test_chains_leave_similar_sets_in():
+    """Pairs at 0.8 and above pass the chains; most pairs of unlike sets do not."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    fps = lambda sets: np.array([overlap._fingerprint(s) for s in sets], np.int64)
+    passed = []
+    for n in (5, 20, 300):
+        base = [rng.integers(-(2**63), 2**63 - 1, n) for _ in range(300)]
+        near = [np.concatenate([b[: n - n // 10], rng.integers(-(2**63), 2**63 - 1, n // 10)]) for b in base]
+        x = (fps(base) ^ fps(near)).view(np.uint64)
+        assert overlap.chains_pass(x, overlap.SEGMENTS, overlap.WITHIN).all()
+        x = (fps(base)[1:] ^ fps(base)[:-1]).view(np.uint64)
+        good = overlap.chains_pass(x, overlap.SEGMENTS, overlap.WITHIN)
+        assert (good == (np.bitwise_count(x) <= overlap.WITHIN)).all()
+        passed.append(good.mean())
+    assert passed[-1] < 0.2

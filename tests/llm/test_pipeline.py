@@ -11,7 +11,7 @@ import corpus_pipeline
 from quillon.llm import mixing, pii, queries, toxicity
 from quillon.llm.tokenize import encoder
 from test_mixing import waterfill
-from test_simhash import brute_components, brute_fingerprint
+from test_overlap import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,13 +38,9 @@ def test_toxicity_stage(spark, stages):
 
 
 def test_near_duplicate_stage(stages):
-    before = stages[1].collect()
-    fp = {r.doc_id: brute_fingerprint(r.text) for r in before}
-    roots = brute_components(fp.values())
-    want = {}
-    for d, f in fp.items():
-        want[roots[f]] = min(d, want.get(roots[f], d))
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(want.values())
+    before = sorted(stages[1].select("doc_id", "text").collect())
+    want = {before[i].doc_id for i in brute_groups([r.text for r in before])}
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(want)
 
 
 def test_personal_data_stage(stages):

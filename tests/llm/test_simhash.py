@@ -108,3 +108,59 @@ def test_components_of_a_chain_and_a_hub(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(301)}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("segments", [2, 3, 4])
+@pytest.mark.parametrize("large", [5, 256, 10**9])
+def test_every_unit_tries_chains(monkeypatch, segments, large):
+    """Small and large comparison units find the same components, and both by chains alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "LARGE", large)
+    tried = []
+    chain_ok = simhash._chain_ok
+    monkeypatch.setattr(simhash, "_chain_ok", lambda x, *rest: tried.append(len(x)) or chain_ok(x, *rest))
+    rng = np.random.default_rng(7)
+    centre, fps = int(rng.integers(0, 2**63)), set()
+    while len(fps) < (700 if segments > 2 else 120):
+        x = centre
+        for b in rng.choice(24, rng.integers(0, 9), replace=False).tolist():
+            x ^= 1 << b
+        fps.add(x)
+    nodes = np.array(sorted(fps), np.uint64)
+    (*keys,) = simhash._keys(iter([pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64))], ["fp"])]), segments, 4)
+    table = pa.Table.from_batches(keys)
+    table = table.append_column("unit", pa.array(np.zeros(table.num_rows, np.int32))).select(["key", "unit", "fp"]).sort_by("key")
+    up = simhash._Forest()
+    for batch in simhash._links(iter(table.combine_chunks().to_batches(max_chunksize=5000)), segments, 4):
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            assert ((a ^ b) % 2**64).bit_count() <= 4
+            up.joins(a % 2**64, b % 2**64)
+    want, got = brute_components(sorted(fps)), {f: up.root(f) for f in fps}
+
+    def groups(of):
+        out = {}
+        for f in sorted(fps):
+            out.setdefault(of[f], []).append(f)
+        return sorted(out.values())
+
+    assert groups(got) == groups(want) and tried
+
+
+def test_long_text_and_no_distance(spark):
+    long = "w1 w2 w3 w4 w5 w6 w7 " * 40_000
+    docs = spark.createDataFrame([(1, long), (2, long + "end"), (3, "short one"), (4, "short one")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, distance=0).collect()}
+    assert got[3] == got[4] == 3
+
+
+def test_hot_component_and_fingerprint(spark, monkeypatch):
+    """Keys of many rows are dealt to several tasks and answer as before."""
+    from quillon.llm import common
+
+    monkeypatch.setattr(common, "HOT", 7)
+    rows = [(i, "the same text again") for i in range(60)] + [(100 + i, None) for i in range(40)] + [(200 + i, f"other {i} words of its own") for i in range(10)] + [(None, "the same text again")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == (0 if r.doc_id is None or r.doc_id < 60 else 100) for r in got if r.doc_id is None or r.doc_id < 200)
