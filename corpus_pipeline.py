@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import mixing, overlap, packing, pii, queries, toxicity
+from quillon.llm import mixing, packing, pii, queries, simhash, toxicity
 from quillon.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +20,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with similar five-word shingles (Jaccard 0.8 or more) stays."""
-    return overlap.without_near_duplicates(docs)
+    return simhash.without_similar(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
