@@ -1,13 +1,15 @@
 """Quality measures, token counts, languages and toxicity against brute force or held-out rows."""
 
+import math
 import random
+import zlib
 from collections import Counter
 
 import public_tokenizers
 import pytest
 from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
-from quillon.llm import langid, quality, tokencount, toxicity
+from quillon.llm import langid, quality, queries, tokencount, toxicity
 
 F = langid.F
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -108,12 +110,97 @@ def test_codewords(n):
         assert min(apart) >= (1 if n == 2 else 2)
 
 
-def test_languages_held_out(spark):
+def plain_model(rows):
+    """Shares of n-grams by language, the code, weights and trust, in plain loops."""
+    counts = {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    langs = sorted(counts)
+    size = {x: sum(counts[x].values()) + 0.5 * langid.BUCKETS for x in langs}
+    code = langid.codewords(len(langs)).tolist()
+    share = {x: [(counts[x][g] + 0.5) / size[x] for g in range(langid.BUCKETS)] for x in langs}
+    weights, trust = [], []
+    for j in range(len(code[0])):
+        plus, minus = ([x for x, c in zip(langs, code) if c[j] == sign] for sign in (1, -1))
+        w = [math.log(sum(share[x][g] for x in plus) / len(plus)) - math.log(sum(share[x][g] for x in minus) / len(minus)) for g in range(langid.BUCKETS)]
+        means = [sum(a * b for a, b in zip(share[x], w)) for x in langs]
+        norm = sum(map(abs, means)) / len(means)
+        weights.append([x / norm for x in w])
+        trust.append(max(0.05, min(c[j] * m for c, m in zip(code, means)) / norm))
+    return langs, code, weights, trust
+
+
+def plain_grams(text):
+    b, out = [], []
+    for c in text.encode():
+        c = c + 32 if 65 <= c <= 90 else c
+        c = c if 97 <= c <= 122 or c >= 128 else 32
+        if c != 32 or not b or b[-1] != 32:
+            b.append(c)
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            code = int.from_bytes(bytes(b[i : i + n]), "big")
+            out.append(((code * 2654435761 + n * 40503) % 2**32 >> 18) % langid.BUCKETS)
+    return out
+
+
+def plain_decode(model, text):
+    langs, code, weights, trust = model
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    found = plain_grams(text)
+    margins = [max(-3.0, min(3.0, sum(w[g] for g in found) / len(found))) for w in weights]
+    loss = [sum(t * math.exp(-c * m) for t, c, m in zip(trust, row, margins)) / sum(trust) for row in code]
+    odds = [math.exp(-4 * (x - min(loss))) for x in loss]
+    best = loss.index(min(loss))
+    return langs[best], odds[best] / sum(odds)
+
+
+def test_languages_registered_query(spark):
+    """Every row of the registered query against plain loops, on its own split by crc32."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    model = plain_model([(r.text, r.lang) for r in rows if not out[r.doc_id]])
+    got = {r.doc_id: r for r in queries.op3_language(spark, sf).collect()}
+    assert got.keys() == out.keys() and 0 < sum(out.values()) < len(out)
+    for r in rows:
+        lang, score = plain_decode(model, r.text)
+        mine = got[r.doc_id]
+        assert mine.held_out == out[r.doc_id] and mine.lang_pred == lang and abs(mine.score - score) < 1e-4
+
+
+def test_many_languages_and_seams(spark, monkeypatch):
+    """More languages than any table of them is cut at, and texts in parts of any size."""
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    own = {f"l{i:03}": rng.sample(letters, 6) for i in range(230)}
+    rows = [(i, "".join(rng.choices(own[x], k=200)), x) for i, x in enumerate([*own] * 3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(own)
+    test = [("".join(rng.choices(own[x], k=200)), x) for x in own]
+    assert sum(model.decode(t)[0] == x for t, x in test) > 0.9 * len(test)
+    text = ("Some  words é 12 " * 50 + "\n\n  end ").encode()
+    want = langid.gram_counts(text)
+    assert want.tolist() == [Counter(plain_grams(text.decode()))[g] for g in range(langid.BUCKETS)]
+    for step in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert (langid.gram_counts(text) == want).all()
+
+
+def test_language_edges(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     held = F.col("doc_id") % 4 == 2
     model = langid.train(rows.where(~held))
-    got = langid.predict(rows.where(held), model, [F.col("doc_id"), F.col("lang").alias("score_of")]).collect()
-    assert sum(r.lang_pred == r.score_of for r in got) >= 0.99 * len(got)
+    got = langid.predict(rows.where(held), model, [F.col("doc_id"), F.col("lang").alias("Score"), F.col("lang").alias("__text")])
+    assert got.columns == ["doc_id", "_Score", "__text", "lang_pred", "score", "ambiguous"]
+    got = got.collect()
+    assert sum(r.lang_pred == r._Score for r in got) >= 0.99 * len(got)
+    tie = spark.createDataFrame([(i, "same words here", x) for i, x in enumerate("ba")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.predict(tie, langid.train(tie), [F.col("doc_id")]).collect()} == {"a"}
+    long = spark.createDataFrame([(1, "the of and that with this is " * 90_000)], "doc_id long, text string")
+    assert langid.predict(long, model, [F.col("doc_id")]).first().lang_pred == "en"
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 ²½ !? \n"), (4, "the of and that with this is"), (4, "the of and that with this is")], "doc_id long, text string")
     out = sorted(langid.predict(odd, model, [F.col("doc_id")]).collect())
     assert [(r.lang_pred, r.score) for r in out[:3]] == [("und", 0.0)] * 3
