@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 from quillon.llm import langid, quality, queries, tokencount, toxicity
@@ -214,7 +216,7 @@ def test_language_edges(spark):
 
 def test_grammar_clauses():
     g = toxicity.Grammar({"moron": 4.0, "scum": 4.0}, {"idiot": 3.0})
-    score = lambda text: sum(w for w, _ in g.clauses(toxicity._TOKEN.findall(text.lower())))
+    score = lambda text: sum(c.weight for c in g.clauses(toxicity._TOKEN.findall(text.lower())))
     plain = score("such a moron here.")
     assert plain == 4.0 and g.insult("idiotic") == 3.0
     assert score("you are a moron.") > plain > score("not a moron.") > 0
@@ -222,8 +224,95 @@ def test_grammar_clauses():
     assert score("it said: moron.") == score("it said moron.") < plain == score("it said. moron.")
     assert score("not one two moron.") < plain == score("not one two three moron.")
     assert score("nothing here. words only!") == 0
-    assert score("i will kill you.") > 0 and score("kill the lights.") == 0
+    threat = lambda text: [(c.threat, round(c.strength, 3)) for c in g.clauses(toxicity._TOKEN.findall(text.lower()))]
+    assert threat("i will kill you.") == [(2, 1.0)] == threat("Je vais te tuer!") == threat("Ich werde dich töten") == threat("voy a matarte")
+    assert threat("she killed them and threatens you") == [(1, 1.0)] and threat("kill the lights. you saw") == []
+    assert threat("i will not kill you")[0][1] < 0.5 and threat("he said: i will kill you")[0][1] <= 0.5
     assert g.features(None) == [0.0] * toxicity.FEATURES == g.features("") == g.features("clean words")
+    model = toxicity.Model(g, toxicity.np.append(toxicity.PRIOR, -2.9))
+    assert model.score("i will kill you.") > 0.5 > model.score("i will not kill you.") > model.score("words") > 0
+
+
+def plain_features(grammar, text):
+    """The grammar as nested loops over clauses and words, without transducers."""
+    clauses, words = [], []
+    tokens = re.findall(r"\w+(?:'\w+)?|[.!?;:\n]", (text or "").lower())
+    for t in [*tokens, "."]:
+        if t in ".!?;:\n":
+            clauses.append((words, t))
+            words = []
+        else:
+            words.append(t)
+    rude, every, hits, threats, carried = [], {}, 0, [0.0, 0.0], False
+    for words, end in clauses:
+        told = carried or any(w in toxicity.REPORT for w in words)
+        carried = told and end == ":"
+        factor = toxicity.REPORTED if told else 1.0
+        both = toxicity.THREAT_AND_TARGET
+        aimed = any(w in toxicity.TARGET or w in both for w in words)
+        factor *= toxicity.AIMED if aimed else 1.0
+        denied = [any(v in toxicity.NEGATION for v in words[max(0, i - toxicity.REACH) : i]) for i in range(len(words))]
+        found = [(w, grammar.insult(w) * (toxicity.NEGATED if no else 1.0) * factor) for w, no in zip(words, denied) if grammar.insult(w)]
+        verbs = [toxicity.NEGATED if no else 1.0 for w, no in zip(words, denied) if w in toxicity.THREAT or w in both]
+        if found:
+            rude.append(sum(v for _, v in found))
+            hits += len(found)
+        for w, v in found:
+            every[w] = max(v, every.get(w, 0.0))
+        if verbs and aimed:
+            threats[0 if any(w in toxicity.INTENT for w in words) else 1] += min(1.0, max(verbs) * factor)
+    if not rude and not any(threats):
+        return [0.0] * 10
+    best, log = sorted(every.values(), reverse=True), math.log1p
+    return [log(sum(rude)), max(rude, default=0.0), sum(sorted(rude)[-3:]), log(hits), log(sum(best[:5])), min(1.0, sum(best[1:2])), log(100 * hits / len(tokens)), float(bool(rude)), *(min(1.0, t) for t in threats)]
+
+
+def plain_lexicon(rows):
+    """Weights of words and stems from (text, toxic), in plain loops."""
+    once = {}
+    for text, toxic in rows:
+        tokens = text.lower().split()
+        sketch = min(xxhash.xxh64_intdigest(" ".join(tokens[i : i + 5])) for i in range(max(1, len(tokens) - 4))) >> 1
+        words = {t for t in re.findall(r"\w+(?:'\w+)?|[.!?;:\n]", text.lower()) if len(t) > 1}
+        once.setdefault((sketch, toxic), []).append(words)
+    seen = {0: Counter(), 1: Counter()}
+    totals = Counter(toxic for _, toxic in once)
+    for (_, toxic), sets in once.items():
+        words = min(sets, key=len)
+        seen[toxic].update(words | {"^" + w[:n] for w in words for n in toxicity.STEMS if len(w) > n})
+    out = {}
+    for term, a in seen[1].items():
+        b = seen[0][term]
+        weight = math.log((a + 0.5) / (totals[1] + 1)) - math.log((b + 0.5) / (totals[0] + 1))
+        if a >= max(toxicity.LEAST_TEXTS, math.ceil(toxicity.LEAST_SHARE * totals[1])) and weight - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= toxicity.LEAST_WEIGHT:
+            out[term] = weight
+    return out
+
+
+def test_toxicity_registered_query(spark):
+    """Every row of the registered query against plain loops, on its own split by crc32."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    known = [(r.text, labels[r.doc_id]) for r in rows if r.doc_id in labels and not out[r.doc_id]]
+    docs, table = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, table.where(queries.toxicity_training()))
+    learned = model.grammar.words | {f"^{t}": w for t, w in model.grammar.stems.items()}
+    want = plain_lexicon(known)
+    assert learned.keys() == want.keys() and all(math.isclose(learned[t], want[t]) for t in want)
+    x = toxicity.np.array([plain_features(model.grammar, t) for t, _ in known])
+    weights = toxicity.fit(x, toxicity.np.array([float(y) for _, y in known]), toxicity.PRIOR)
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, sf).collect()}
+    assert got.keys() == out.keys()
+    for r in rows:
+        z = sum(a * b for a, b in zip([*plain_features(model.grammar, r.text), 1.0], weights))
+        mine = got[r.doc_id]
+        assert mine.held_out == out[r.doc_id] and mine.predicted == int(mine.score >= 0.5)
+        assert abs(mine.score - 1 / (1 + math.exp(-z))) < 1e-6
+    toxic = [got[d].predicted for d, y in labels.items() if y and out[d]]
+    clean = [got[d].predicted for d, y in labels.items() if not y and out[d]]
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 def test_toxicity_held_out(spark):
@@ -238,8 +327,11 @@ def test_toxicity_held_out(spark):
     odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (2, "", "b")], "doc_id long, text string, score string")
     scores = {r.score for r in toxicity.scored(odd.drop("score"), model, [F.col("doc_id")]).collect()}
     assert len(scores) == 1 and scores.pop() < 0.5
-    kept = toxicity.without_toxic(odd, model)
-    assert kept.columns == odd.columns and sorted(r.score for r in kept.collect()) == ["a", "b", "b"]
+    for name in ("score", "Score", "__text", "_score"):
+        kept = toxicity.without_toxic(odd.withColumnRenamed("score", name), model)
+        assert kept.columns == ["doc_id", "text", name] and sorted(r[2] for r in kept.collect()) == ["a", "b", "b"]
+    long = spark.createDataFrame([(1, "plain words. " * 100_000), (2, "x" * 500_000)], "doc_id long, text string")
+    assert toxicity.without_toxic(long, model).count() == 2
     assert toxicity.without_toxic(odd.limit(0), model).count() == 0
 
 
