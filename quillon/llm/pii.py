@@ -1,8 +1,10 @@
 """Personal data to format-preserving pseudonyms, in DataFrame expressions only.
 
 Validated numbers (cards, phones, social security numbers, IPv4 addresses) and dates are
-permuted by a keyed Feistel network within their own format, so equal values stay equal across
-documents and different ones stay different. E-mail names and hexadecimal secrets have no
+permuted by a keyed Feistel network within their own format: a pseudonym is as wide as its value
+and passes the same checks, equal values stay equal across documents and different ones stay
+different. Where the values of a format are no full rectangle of numbers (dates), the network walks on until it
+meets one. E-mail names and hexadecimal secrets have no
 number format; they become keyed digests of the same shape.
 """
 
@@ -10,10 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillon.llm.common import free_name
+
 ROUNDS = 8
-#: Bounds on cycle-walking; a walk that long has a chance below 1e-15.
-WALKS = 64
-FIRST_DAY, DAYS, SIDES = "1900-01-01", 73049, (271, 270)
+#: Bound on cycle-walking: of the days that a date can fall on more than nine in ten exist, so a walk that long has a chance below 1e-15.
+WALKS = 16
+FIRST_YEAR, YEARS = 1900, 200
 
 # Formats of the values looked for.
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+)(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+"
@@ -99,7 +103,7 @@ def _card(value: Column, key: str) -> Column:
     """Leading digits that name the network stay; the last digit is the Luhn check of the new number."""
 
     def new(d: Column) -> Column:
-        keep = F.when(d.startswith("4"), 1).when(d.rlike("^[35][1-57]"), 2).otherwise(4)
+        keep = F.when(d.startswith("4"), 1).when(d.rlike("^(?:5[1-5]|3[47])"), 2).otherwise(4)
         body = F.concat(F.substring(d, F.lit(1), keep), permuted_digits(F.substring(d, keep + 1, F.length(d) - keep - 1), f"{key}card"))
         return _let(body, lambda b: F.concat(b, F.pmod(10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
 
@@ -120,8 +124,19 @@ def _phone(value: Column, key: str) -> Column:
 
 
 def _ssn(value: Column, key: str) -> Column:
+    """Numbers that can be issued are a rectangle: 898 areas (none is 000, 666 or 9xx) by 99 groups, and 9999 serials."""
     valid = value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
-    return F.when(valid, _let(_digits(value), lambda d: _refill(value, permuted_digits(d, f"{key}ssn"))))
+    area, group, serial = (F.substring(value, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    place = (area - 1 - F.when(area > 666, 1).otherwise(0)) * 99 + group - 1
+
+    def spelt(x: Column) -> Column:
+        area = F.floor(x["a"] / 99) + 1
+        area = area + F.when(area >= 666, 1).otherwise(0)
+        parts = ((area, 3), (x["a"] % 99 + 1, 2), (x["b"] + 1, 4))
+        return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in parts])
+
+    sizes = (F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"))
+    return F.when(valid, _let(feistel(place, serial - 1, *sizes, f"{key}ssn"), spelt))
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -137,33 +152,47 @@ def _ip(value: Column, key: str) -> Column:
     return F.when(F.forall(four, lambda x: x <= 255), _let(four, new))
 
 
-def _day(iso: Column, key: str, late: bool = False) -> Column:
-    """A date from 1900 to 2099 to another; `late`: within the dates after the 12th of a month."""
-    width = F.lit(SIDES[1]).cast("long")
-    first = F.lit(FIRST_DAY).cast("date")
-    as_date = lambda n: F.date_add(first, n.cast("int"))
-    allowed = lambda n: (n < DAYS) & (F.dayofmonth(as_date(n)) > 12 if late else F.lit(True))
+def _day(year: Column, month: Column, day: Column, months: Column, first: Column, days: Column, key: str) -> Column:
+    """struct(year, month, day): a permutation of the dates of YEARS with month 1..months and day first..first+days-1."""
+    years = F.lit(YEARS).cast("long")
+    size = (months * days).cast("long")
+    month_of = lambda b: (F.floor(b / days) + 1).cast("int")
+    day_of = lambda b: (b % days + first).cast("int")
+    last = lambda g: F.dayofmonth(F.last_day(F.make_date((g["a"] + FIRST_YEAR).cast("int"), month_of(g["b"]), F.lit(1))))
 
     def walk(x: Column, _: Column) -> Column:
-        got = feistel(F.floor(x["n"] / width), x["n"] % width, F.lit(SIDES[0]).cast("long"), width, f"{key}day{int(late)}")
-        step = _let(got, lambda g: F.struct((g["a"] * width + g["b"]).alias("n"), allowed(g["a"] * width + g["b"]).alias("done")))
-        return F.when(x["done"], x).otherwise(step)
+        step = lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), (day_of(g["b"]) <= last(g)).alias("done"))
+        return F.when(x["done"], x).otherwise(_let(feistel(x["a"], x["b"], years, size, f"{key}day"), step))
 
-    start = F.struct(F.datediff(iso, first).cast("long").alias("n"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, walk, lambda x: as_date(x["n"]))
+    start = F.struct((year - FIRST_YEAR).cast("long").alias("a"), ((month - 1) * days + day - first).cast("long").alias("b"), F.lit(False).alias("done"))
+    spelt = lambda x: F.struct((x["a"] + FIRST_YEAR).alias("year"), month_of(x["b"]).alias("month"), day_of(x["b"]).alias("day"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, walk, spelt)
 
 
 def _date(value: Column, key: str) -> Column:
-    """Year-month-day, month/day/year (day/month/year where only that is a date), day.month.year."""
-    ok = lambda d: d.between(F.lit("1900-01-01").cast("date"), F.lit("2099-12-31").cast("date"))
-    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    # A day or month without a leading zero stays as short as the new value allows.
-    fmt = lambda pattern: lambda d: F.when(ok(d), F.date_format(_day(d, key), pattern))
+    """Year-month-day, month/day/year (day/month/year where only that is a date), day.month.year, from 1900 to 2099.
+
+    Years, months and days keep their widths: a month of one digit becomes one of 1 to 9, and one of
+    two digits any month, with a zero before it where it needs one; so days.
+    """
     p = F.split(value, r"[-/.]")
     a, b, c = F.get(p, 0), F.get(p, 1), F.get(p, 2)
-    late = lambda d: F.when(ok(d), F.date_format(_day(d, key, True), "dd/MM/yyyy"))
-    slash = F.coalesce(_let(made(c, a, b), fmt("MM/dd/yyyy")), _let(F.when(a.cast("int") > 12, made(c, b, a)), late))
-    return F.when(value.contains("-"), _let(made(a, b, c), fmt("yyyy-MM-dd"))).when(value.contains("/"), slash).otherwise(_let(made(c, b, a), fmt("dd.MM.yyyy")))
+
+    def new(y: Column, m: Column, d: Column, spell, late: bool = False) -> Column:
+        date = F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        ok = date.between(F.lit(f"{FIRST_YEAR}-01-01").cast("date"), F.lit(f"{FIRST_YEAR + YEARS - 1}-12-31").cast("date"))
+        months = F.when(F.length(m) == 1, 9).otherwise(12)
+        first, days = (F.lit(13), F.lit(19)) if late else (F.lit(1), F.when(F.length(d) == 1, 9).otherwise(31))
+        got = _day(y.cast("int"), m.cast("int"), d.cast("int"), months, first, days, key)
+        parts = lambda x: spell(x["year"].cast("string"), F.lpad(x["month"].cast("string"), F.length(m), "0"), F.lpad(x["day"].cast("string"), F.length(d), "0"))
+        return F.when(ok, _let(got, parts))
+
+    iso = new(a, b, c, lambda y, m, d: F.concat_ws("-", y, m, d))
+    slash = F.coalesce(
+        F.when(a.cast("int") <= 12, new(c, a, b, lambda y, m, d: F.concat_ws("/", m, d, y))),
+        F.when(a.cast("int") > 12, new(c, b, a, lambda y, m, d: F.concat_ws("/", d, m, y), True)),
+    )
+    return F.when(value.contains("-"), iso).when(value.contains("/"), slash).otherwise(new(c, b, a, lambda y, m, d: F.concat_ws(".", d, m, y)))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -193,23 +222,29 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = "quillon", count_col: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """`docs` with personal data in `text_col` replaced; with `count_col`, how many values were.
 
+    Who has the key can undo the permutations: it has no default, and an empty one is an error.
     Values that only look like one (a number that fails its check digit or network, an address
     with an octet over 255, a day that no calendar has) stay. A null text stays null with count
-    0; an empty text stays empty; rows are independent, so repeated rows give repeated results;
-    other columns pass through as they are.
+    0; an empty text stays empty; texts count whole, however long; rows are independent, so
+    repeated rows give repeated results; an empty table gives none; other columns pass through
+    as they are, whatever their names.
     """
-    text = F.col(text_col)
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    text = F.col(f"`{text_col}`")
+    names = free_name(docs.columns, "__found"), free_name(docs.columns, "__new")
+    was, new = map(F.col, names)
     found = F.when(text.rlike("[0-9@]|[0-9A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    work = docs.withColumn("__found", found)
-    new = F.transform("__found", lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
-    work = work.withColumn("__new", F.when(F.size("__found") > 0, new))
+    work = docs.withColumn(names[0], found)
+    pairs = F.transform(was, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
+    work = work.withColumn(names[1], F.when(F.size(was) > 0, pairs))
     between = F.split(text, ANY, -1)
-    values = F.concat(F.transform("__new", lambda x: F.coalesce(x["new"], x["old"])), F.array(F.lit("")))
+    values = F.concat(F.transform(new, lambda x: F.coalesce(x["new"], x["old"])), F.array(F.lit("")))
     rebuilt = F.array_join(F.flatten(F.zip_with(between, values, lambda a, b: F.array(a, b))), "")
-    work = work.withColumn(text_col, F.when(F.size("__found") > 0, rebuilt).otherwise(text))
+    work = work.withColumn(text_col, F.when(F.size(was) > 0, rebuilt).otherwise(text))
     if count_col:
-        work = work.withColumn(count_col, F.coalesce(F.size(F.filter("__new", lambda x: x["new"].isNotNull())), F.lit(0)))
-    return work.drop("__found", "__new")
+        work = work.withColumn(count_col, F.coalesce(F.size(F.filter(new, lambda x: x["new"].isNotNull())), F.lit(0)))
+    return work.drop(*names)

@@ -82,7 +82,7 @@ def test_packing_stage(stages):
 def test_run(spark, stages):
     count = lambda df: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert count(corpus_pipeline.run(spark, SF)) == count(stages[-1])
-    assert pii.pseudonymised(stages[3]).count() == stages[3].count()
+    assert pii.pseudonymised(stages[3], "k").count() == stages[3].count()
 
 
 ODD = [
