@@ -1,8 +1,10 @@
 """Token-id files of patched frame-of-reference blocks.
 
-A file, little-endian throughout:
+A file is a row of records, each followed by a newline byte that is no part of it, so that Spark's
+own text sink writes it: through Hadoop's file systems, and committed whole or not at all. The
+records, little-endian throughout:
 
-    magic "QPFOR001"
+    magic "QPFOR002"
     blocks            u32 values, u32 minimum, u8 width, u32 exceptions, then the values less the
                       minimum packed at `width` bits (low bits of outliers too), exception
                       positions u32, exception values u32 (less the minimum, whole)
@@ -21,13 +23,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from quillon.llm.common import fresh_path, ship_code
+from quillon.llm.common import fresh_path, remove, ship_code, stored
 from quillon.llm.tokenize import encoder, largest_id
 
-MAGIC = b"QPFOR001"
+MAGIC = b"QPFOR002"
+NEWLINE = b"\n"
 BLOCK = 4096
 PERCENTILE = 90
 END_ID = 2
@@ -61,24 +63,26 @@ def decode_block(raw: bytes) -> np.ndarray:
 
 
 class Writer:
-    """Streams documents into one file; holds a block and 17 bytes a document."""
+    """Turns documents into the records of one file; holds a block and 17 bytes a document."""
 
-    def __init__(self, sink, block: int = BLOCK, percentile: int = PERCENTILE) -> None:
-        self.sink, self.block, self.percentile = sink, block, percentile
+    def __init__(self, block: int = BLOCK, percentile: int = PERCENTILE) -> None:
+        self.block, self.percentile = block, percentile
         self.starts: list[int] = []
         self.docs: list[tuple[int, bool, int]] = []
         self.held: list[bytes] = []
         self.size = self.ids = 0
-        sink.write(MAGIC)
-        self.at = len(MAGIC)
+        self.at = len(MAGIC) + len(NEWLINE)
 
-    def _put(self, ids: np.ndarray) -> None:
+    def _block(self, ids: np.ndarray) -> bytes:
         raw = encode_block(ids, self.percentile)
-        self.sink.write(raw)
         self.starts.append(self.at)
-        self.at += len(raw)
+        self.at += len(raw) + len(NEWLINE)
+        return raw
 
-    def add(self, doc: int | None, raw: bytes) -> None:
+    def add(self, doc: int | None, raw: bytes) -> Iterator[bytes]:
+        """The blocks that a document fills up."""
+        if not self.docs:
+            yield MAGIC
         self.docs.append((doc or 0, doc is None, len(raw) // 4))
         self.held.append(raw)
         self.size += len(raw) // 4
@@ -87,16 +91,18 @@ class Writer:
             ids = np.frombuffer(b"".join(self.held), "<u4")
             cut = len(ids) // self.block * self.block
             for i in range(0, cut, self.block):
-                self._put(ids[i : i + self.block])
+                yield self._block(ids[i : i + self.block])
             self.held, self.size = [ids[cut:].tobytes()], len(ids) - cut
 
-    def close(self) -> None:
+    def close(self) -> Iterator[bytes]:
+        """The last block, the index and the footer; nothing where there was no document."""
+        if not self.docs:
+            return
         if self.size:
-            self._put(np.frombuffer(b"".join(self.held), "<u4"))
-        where = self.at
-        self.sink.write(np.array(self.starts, "<u8").tobytes())
-        self.sink.write(np.array(self.docs, _DOC).tobytes())
-        self.sink.write(np.array([(len(self.starts), len(self.docs), self.ids, where, MAGIC)], _FOOT).tobytes())
+            yield self._block(np.frombuffer(b"".join(self.held), "<u4"))
+        yield np.array(self.starts, "<u8").tobytes()
+        yield np.array(self.docs, _DOC).tobytes()
+        yield np.array([(len(self.starts), len(self.docs), self.ids, self.at, MAGIC)], _FOOT).tobytes()
 
 
 class Reader:
@@ -106,12 +112,13 @@ class Reader:
         self.source = source
         source.seek(0, 2)
         end = source.tell()
-        source.seek(end - _FOOT.itemsize)
+        source.seek(end - _FOOT.itemsize - len(NEWLINE))
         foot = np.frombuffer(source.read(_FOOT.itemsize), _FOOT)[0]
         if foot["magic"] != MAGIC:
             raise ValueError("not a token-id file")
         source.seek(int(foot["starts"]))
         self.starts = np.frombuffer(source.read(8 * int(foot["blocks"])), "<u8").astype(np.int64)
+        source.seek(len(NEWLINE), 1)
         self.docs = np.frombuffer(source.read(_DOC.itemsize * int(foot["docs"])), _DOC)
         self.ends = np.append(self.starts[1:], int(foot["starts"]))
 
@@ -138,20 +145,15 @@ class Reader:
             yield None if none else doc, n, crc
 
 
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else fs.FileSystem.from_uri(path.replace("file:", "file://", 1))
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int, bounds: list[int]) -> Iterator[pa.RecordBatch]:
-    """Ids of each text at `width` bytes, and the number of its file."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int, bounds: list[int], nameless: int) -> Iterator[pa.RecordBatch]:
+    """Ids of each text at `width` bytes, and the number of its file: rows without an id fill the first `nameless`, by text hash."""
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
     names = ["file", "doc_id", "text_hash", "ids"]
     for batch in batches:
-        ids = batch.column(0)
-        file = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="left").astype(np.int32)
-        file[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        ids, none = batch.column(0), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        hashes = batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+        file = nameless + np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="left").astype(np.int32)
+        file = np.where(none, ((hashes >> np.uint64(32)) * np.uint64(nameless)) >> np.uint64(32), file).astype(np.int32)
         for at, found in enc.groups(batch.column(2)):
             n = len(found)
             raws = [np.frombuffer(raw + end, "<u4").astype(f"<u{width}").tobytes() for raw in found]
@@ -159,48 +161,40 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: i
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterator[pa.RecordBatch]:
-    """One file for each task, under a name of the attempt until it is whole."""
-    task = TaskContext.get()
-    store, base = _store(folder)
-    name, writer = f"part-{task.partitionId():06d}.pfor", None
-    own = f"{base}/_{name}.{task.taskAttemptId()}"
+def _records(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The records of one task's file."""
+    writer, held = Writer(), []
+    batch_of = lambda raws: pa.RecordBatch.from_arrays([pa.array(raws, pa.binary())], ["value"])
     for batch in batches:
-        if writer is None and batch.num_rows:
-            store.create_dir(base, recursive=True)
-            writer = Writer(store.open_output_stream(own))
         for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            writer.add(doc, raw if width == 4 else np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
-    if writer:
-        writer.close()
-        writer.sink.close()
-        store.move(own, f"{base}/{name}")
-        row = [[task.partitionId()], [name], [len(writer.docs)], [writer.ids]]
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["part", "name", "docs", "ids"])
-
-
-def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    store, base = _store(folder)
+            held.extend(writer.add(doc, raw if width == 4 else np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()))
+            if len(held) >= 256:
+                yield batch_of(held)
+                held = []
+    yield batch_of([*held, *writer.close()])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of whole files: file, doc_id, ids before it in its file, n_tokens, ids_crc32."""
+    names = ["file", "doc_id", "start", "n_tokens", "ids_crc32"]
     for batch in batches:
-        for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            with store.open_input_file(f"{base}/{name}") as source:
+        for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            with pa.BufferReader(content.as_buffer()) as source:
+                if not source.size():
+                    continue
                 docs, n, crc = zip(*Reader(source).documents(), strict=True)
             n = np.array(n, np.int64)
-            starts = start + np.cumsum(n) - n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(starts), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-            )
+            columns = [pa.array(np.full(len(n), file, np.int32)), pa.array(docs, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def write_ids(
-    docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, files: int | None = None
-) -> list[tuple[str, int, int]]:
-    """Writes token ids of all documents in ascending id order; returns (file name, documents, ids) in that order.
+def write_ids(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, files: int | None = None) -> None:
+    """Writes token ids of all documents in ascending id order; the order of files is that of their names.
 
-    `folder` is a path that all executors and the driver share. A null id comes first; rows
-    with one id are ordered by a hash of their text; a null or empty text is the end id alone;
-    an empty table writes no file. The list has a row for each file, not for each document.
+    `folder` is a path of any file system that Spark writes to. Rows without an id come first, in
+    files of their own, by a hash of their text, as do rows of one id; a null or empty text is the end id
+    alone; whole texts are encoded, however long; repeated rows are written each by itself; an
+    empty table writes no document. Other columns are not read.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -208,27 +202,37 @@ def write_ids(
     id_ = F.col(id_col).cast("long").alias("doc_id")
     # Files are cut at quantiles of the id, a value per file, so that ids move and texts do not.
     steps = [i / files for i in range(1, files)]
-    cuts = docs.select(id_).agg(F.percentile_approx("doc_id", steps, max(10_000, 4 * files)) if steps else F.lit(None)).first()[0]
+    cuts = F.percentile_approx("doc_id", steps, max(10_000, 4 * files)) if steps else F.lit(None)
+    found, rows, named = docs.select(id_).agg(cuts, F.count("*"), F.count("doc_id")).first()
+    nameless = -(-(rows - named) * files // max(rows, 1))
+    bounds = sorted(set(found or []))
     width = 2 if max(largest_id(tokenizer), end_id) < 1 << 16 else 4
     own = docs.select(id_, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    encoded = own.mapInArrow(partial(_encoded, path=tokenizer, end_id=end_id, width=width, bounds=sorted(set(cuts or []))), "file int, doc_id long, text_hash long, ids binary")
-    dealt = encoded.repartitionById(files, F.col("file")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash").select("doc_id", "ids")
-    rows = dealt.mapInArrow(partial(_write, folder=folder, width=width), "part int, name string, docs long, ids long").collect()
-    return [(r.name, r.docs, r.ids) for r in sorted(rows, key=lambda r: r.part)]
+    encoded = own.mapInArrow(
+        partial(_encoded, path=tokenizer, end_id=end_id, width=width, bounds=bounds, nameless=nameless), "file int, doc_id long, text_hash long, ids binary"
+    )
+    dealt = encoded.repartitionById(nameless + len(bounds) + 1, F.col("file")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash").select("doc_id", "ids")
+    records = dealt.mapInArrow(partial(_records, width=width), "value binary")
+    records.select(F.col("value").cast("string")).write.option("lineSep", NEWLINE.decode()).option("compression", "none").text(folder)
 
 
-def read_ids(spark, folder: str, files: list[tuple[str, int, int]]) -> DataFrame:
-    """One row per document from the files: doc_id, start (ids before it), n_tokens, ids_crc32."""
+def read_ids(spark, folder: str) -> DataFrame:
+    """One row per document from the files: doc_id, start (ids before it), n_tokens, ids_crc32. Files are read once."""
     ship_code(spark)
-    rows, start = [], 0
-    for name, _, ids in files:
-        rows.append((name, start))
-        start += ids
-    todo = spark.createDataFrame(rows, "name string, start long").repartition(max(1, len(rows)))
-    return todo.mapInArrow(partial(_read, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    whole = spark.read.format("binaryFile").load(folder).where("length > 0")
+    whole = whole.select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("file"), "content")
+    rows = stored(whole.mapInArrow(_read, "file int, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-rows")
+    # A row for each file: the only ones that one task adds up.
+    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
+    before = sums.select("file", F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """write_ids() into a new shared folder, then read_ids() from it."""
-    folder = fresh_path(docs.sparkSession, "token-ids")
-    return read_ids(docs.sparkSession, folder, write_ids(docs, tokenizer, folder, **options))
+    """write_ids() into a new shared folder, then read_ids() from it; the files go when they are read."""
+    spark = docs.sparkSession
+    folder = fresh_path(spark, "token-ids")
+    write_ids(docs, tokenizer, folder, **options)
+    rows = read_ids(spark, folder)
+    remove(spark, folder)
+    return rows

@@ -119,10 +119,10 @@ def test_blocks_round_trip():
 
 def test_file_round_trip():
     sink, docs = BytesIO(), [(None, b""), (1, np.arange(10000, dtype="<u4").tobytes()), (2, b""), (3, np.full(5, 9, "<u4").tobytes())]
-    writer = pfor.Writer(sink, block=128)
+    writer = pfor.Writer(block=128)
     for doc, raw in docs:
-        writer.add(doc, raw)
-    writer.close()
+        sink.writelines(x + pfor.NEWLINE for x in writer.add(doc, raw))
+    sink.writelines(x + pfor.NEWLINE for x in writer.close())
     reader = pfor.Reader(sink)
     assert list(reader.documents(blocks_at_once=3)) == [(d, len(x) // 4, crc32(x)) for d, x in docs]
     assert (reader.blocks(5, 6) == np.arange(640, 768)).all()
@@ -136,5 +136,21 @@ def test_token_ids_in_order(docs, library):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_crc32, r.n_tokens) for r in rows) == want
 
 
+def test_files_are_in_order_and_rows_without_id_spread(spark, library, tmp_path):
+    """Many rows without an id, and ids out of order, over several files that hold what the format says."""
+    rows = [(None, f"no id {i}") for i in range(60)] + [(i * 37 % 100, f"text {i}\nnext") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pfor.write_ids(docs, PATH, str(tmp_path / "out"), files=5)
+    files = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-") and p.stat().st_size)
+    assert len(files) >= 6
+    found = [[d for d, _, _ in pfor.Reader(BytesIO(p.read_bytes())).documents()] for p in files]
+    assert sum(1 for f in found if None in f) >= 2 and not any(None in f and set(f) != {None} for f in found)
+    assert [d for f in found for d in f if d is not None] == list(range(100))
+    got = sorted(pfor.read_ids(spark, str(tmp_path / "out")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 60 + list(range(100))
+    by_id = {d: len(ids_of(library, t)) // 4 + 1 for d, t in rows if d is not None}
+    assert all(r.n_tokens == by_id[r.doc_id] for r in got if r.doc_id is not None)
+
+
 def test_token_ids_empty(docs):
     assert pfor.round_trip(docs.limit(0), PATH).count() == 0
