@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at exactly these bytes.
@@ -119,6 +120,13 @@ def hot_join(many: DataFrame, one: DataFrame, key: str, tell: str, how: str = "i
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, where what is made of a text is larger than the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Lets Python workers import this package where their path does not hold it yet."""
     package = Path(__file__).resolve().parents[1]

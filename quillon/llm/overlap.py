@@ -8,9 +8,9 @@ then the fingerprints' pigeonring chains prune, and the exact similarity decides
   of at least t share at least t * max(n) shingles, so the first n - ceil(t * n) + 1 of each must
   have one in common. Any common order is right; shingles found often in a sample come last, which
   keeps the groups that meet small.
-- Of two sets that meet, the chains of fingerprints over their distinct shingles must stay within
-  the budgets of WITHIN bits. A bit differs with a chance of 0.152 at a similarity of 0.8, so a true pair
-  is beyond WITHIN bits with a chance of about 1e-7; two texts without a common shingle are 32 bits apart on average.
+- Of two sets that meet, the chains of wider fingerprints of BITS bits over their distinct shingles must stay within
+  the budgets of WITHIN bits. A bit differs with a chance of 0.152 at a similarity of 0.8, so a true pair is
+  beyond WITHIN, six standard deviations off, with a chance of about 1e-8; at a similarity of 0.3 two in a hundred pass.
 - In a group every set is first compared with one leader, another one in each group. Only pairs that
   those links leave in different components are then compared, so a dense group of near copies
   costs no square of its size.
@@ -26,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from quillon.llm.common import dropped, ship_code, stored
+from quillon.llm.common import dropped, ship_code, slices, stored
 from quillon.llm.graph import components
 from quillon.llm.simhash import SEED, chains_pass, shingle_hashes, with_components
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 NUM, DEN = 4, 5
-#: Bits that fingerprints of similar sets may differ in, and segments of their ring.
-WITHIN, SEGMENTS = 26, 8
-#: Texts whose shingles are counted for the order, about, and the most shingles that it holds. Results do not depend on them.
-SAMPLE, FREQUENT = 8000, 200_000
+#: Bits of a fingerprint, those that similar sets may differ in, and constants that make its words of 64 bits from one hash.
+BITS, WITHIN = 256, 74
+_WORDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+WORDS = [f"w{i}" for i in range(BITS // 64)]
+#: One text in so many has its shingles counted for the order, and the most shingles that it holds. Results do not depend on them.
+SAMPLE, FREQUENT = 8, 200_000
 #: Up to so many ids of candidates are broadcast, so that no set moves which nothing is compared with.
 IDS = 1_000_000
 #: Pairs that are compared in one part, about.
@@ -54,36 +56,34 @@ def _set(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
     return int(np.uint64(xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64)), grams
 
 
-def _fingerprint(grams: np.ndarray) -> int:
-    """SimHash of distinct shingles, as a signed number."""
-    total = np.zeros(64, np.int64)
-    raw = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)
-    for i in range(0, len(raw), 1 << 16):
-        total += np.unpackbits(raw[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(raw)).tobytes(), "big", signed=True)
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time: sets of shingles are larger than their texts."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            yield batch.slice(at, 256)
+def _fingerprint(grams: np.ndarray) -> np.ndarray:
+    """SimHash of distinct shingles in BITS bits, as signed words."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(grams), 1 << 14):
+        x = grams[at : at + (1 << 14)].view(np.uint64)[:, None] + _WORDS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+        total += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(grams)).view(np.int64)
 
 
 def _numbers(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        sid = [_set(t, shingle)[0] for t in batch.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sid, pa.int64())], ["doc_id", "text_hash", "sid"])
+    for batch in slices(batches):
+        sets = [_set(t, shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        fps = np.array([_fingerprint(grams) for _, grams in sets]).reshape(len(sets), len(WORDS))
+        columns = [pa.array([s for s, _ in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(fps.T))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "sid", *WORDS])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in slices(batches):
         got = [_set(t, shingle) for t in batch.column(0).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1].tobytes() for x in got], pa.binary())], ["sid", "grams"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in slices(batches):
         got = [_set(t, shingle)[1] for t in batch.column(0).cast(pa.binary()).to_pylist()]
         if got:
             found, n = np.unique(np.concatenate(got), return_counts=True)
@@ -91,10 +91,10 @@ def _counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(gram, sid, n, pos, fp) of the shingles that a set is looked up by; pos is the place in the common order."""
+    """(gram, sid, place) of the shingles that a set is looked up by; place is the size of the set and the place in the common order."""
     done: set[int] = set()
-    for batch in _slices(batches):
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for batch in slices(batches):
+        out: list[list[np.ndarray]] = [[], [], []]
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             sid, grams = _set(text, shingle)
             n = len(grams)
@@ -107,10 +107,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndar
                 at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
                 rank = np.where(frequent[at] == grams, often[at], 0)
             first = grams[np.lexsort((grams, rank))[:size]]
-            for column, x in zip(out, (first, np.full(size, sid, np.int64), np.full(size, n, np.int32), np.arange(size, dtype=np.int32), np.full(size, _fingerprint(grams), np.int64)), strict=True):
+            for column, x in zip(out, (first, np.full(size, sid, np.int64), (n << 32) + np.arange(size)), strict=True):
                 column.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["gram", "sid", "n", "pos", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["gram", "sid", "place"])
 
 
 def _viable(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray) -> np.ndarray:
@@ -119,10 +119,13 @@ def _viable(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray) ->
     return np.minimum(n - pos, n2 - pos2) * (NUM + DEN) >= NUM * (n + n2)
 
 
-def _candidates(n: np.ndarray, pos: np.ndarray, fp: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+def _candidates(n: np.ndarray, pos: np.ndarray, fp: list[np.ndarray], at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Those of `at` that can be similar to their partner in `to`: by size and place, then by chains of fingerprints."""
     ok = np.flatnonzero(_viable(n[at], pos[at], n[to], pos[to]))
-    return at[ok[chains_pass((fp[at[ok]] ^ fp[to[ok]]).view(np.uint64), SEGMENTS, WITHIN)]]
+    at, to = at[ok], to[ok]
+    apart = [(w[at] ^ w[to]).view(np.uint64) for w in fp]
+    spent = [np.bitwise_count(half) for x in apart for half in (x >> np.uint64(32), x & np.uint64(0xFFFFFFFF))]
+    return at[chains_pass(np.column_stack(spent).astype(np.int64), WITHIN)]
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -148,37 +151,44 @@ def _ends(gram: np.ndarray) -> np.ndarray:
     return np.repeat(ends, np.diff(np.concatenate([[0], ends])))
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of two sets or more, without sets that nothing in the group can be similar to, and each group's leader."""
-    for columns in _whole_groups(batches):
-        gram, sid = columns[:2]
+def _starts(gram: np.ndarray) -> np.ndarray:
+    """For each row the start of its group."""
+    return np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), np.arange(len(gram)), 0))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of two sets or more, without sets that nothing in the group can be similar to by size and place."""
+    for gram, sid, place in _whole_groups(batches):
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])])
-        gram, sid, n, pos, fp = (x[new] for x in columns)
+        gram, sid, n, pos = gram[new], sid[new], place[new] >> 32, place[new] & 0xFFFFFFFF
         end, use = _ends(gram), np.zeros(len(gram), bool)
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), np.arange(len(gram)), 0))
-        large = end - start > 64
+        large = end - _starts(gram) > 64
         use[large] = True
         at, step = np.flatnonzero(~large & (np.arange(len(gram)) + 1 < end)), 1
         while len(at):
-            ok = _candidates(n, pos, fp, at, at + step)
+            ok = at[_viable(n[at], pos[at], n[at + step], pos[at + step])]
             use[ok] = use[ok + step] = True
             step += 1
             at = at[at + step < end[at]]
-        if not use.any():
-            continue
-        gram, sid, n, pos, fp = (x[use] for x in (gram, sid, n, pos, fp))
+        if use.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (gram, sid, n, pos)], ["gram", "sid", "n", "pos"])
+
+
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each group's leader, another one in each group, and who can be similar to it."""
+    for gram, sid, n, pos, *fp in _whole_groups(batches):
         mixed = (gram.view(np.uint64) ^ (sid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
         order = np.lexsort((mixed, gram))
-        gram, sid, n, pos, fp = (x[order] for x in (gram, sid, n, pos, fp))
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), np.arange(len(gram)), 0))
+        gram, sid, n, pos, *fp = (x[order] for x in (gram, sid, n, pos, *fp))
+        first = _starts(gram)
         good, follow = np.zeros(len(gram), bool), np.flatnonzero(first != np.arange(len(gram)))
         good[_candidates(n, pos, fp, follow, first[follow])] = True
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, sid, n, pos, fp, sid[first], good)], ["gram", "sid", "n", "pos", "fp", "lead", "near_lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, sid, n, pos, *fp, sid[first], good)], ["gram", "sid", "n", "pos", *WORDS, "lead", "near_lead"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a group that can be similar and are not in one component yet."""
-    for gram, sid, n, pos, fp, label in _whole_groups(batches):
+    for gram, sid, n, pos, *fp, label in _whole_groups(batches):
         end = _ends(gram)
         at, step = np.flatnonzero(np.arange(len(gram)) + 1 < end), 1
         while len(at):
@@ -221,15 +231,19 @@ def _checked(pairs: DataFrame, own: DataFrame) -> DataFrame:
 def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(a, b): links that connect the sets of `nodes` exactly as all pairs with a similarity of NUM / DEN or more do.
 
-    texts: doc_id, text_hash, text; nodes: sid and the struct first (doc_id, text_hash) of a row that has this set.
+    texts: doc_id, text_hash, text; nodes: sid, its fingerprint's WORDS and the struct first (doc_id, text_hash) of a row that has this set.
     """
-    spread = max(1, nodes.count() // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("text_hash"), F.lit(spread)) == 0).select("text").mapInArrow(partial(_counts, shingle=shingle), "gram long, n long")
+    sample = texts.where(F.pmod(F.xxhash64("text_hash"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(partial(_counts, shingle=shingle), "gram long, n long")
     top = sample.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
     frequent, often = top.gram.to_numpy(np.int64), top.n.to_numpy(np.int64)
-    keys = texts.select("text").mapInArrow(partial(_prefixes, shingle=shingle, frequent=frequent, often=often), "gram long, sid long, n int, pos int, fp long")
-    keys = keys.repartition("gram").sortWithinPartitions("gram", "sid")
-    buckets = stored(keys.mapInArrow(_buckets, "gram long, sid long, n int, pos int, fp long, lead long, near_lead boolean"), "buckets")
+    keys = texts.select("text").mapInArrow(partial(_prefixes, shingle=shingle, frequent=frequent, often=often), "gram long, sid long, place long")
+    words = ", ".join(f"{w} long" for w in WORDS)
+    # Keys are about as large as their texts: parts of half an input part keep what a task holds small.
+    parts = max(2 * texts.rdd.getNumPartitions(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = keys.repartition(parts, "gram").sortWithinPartitions("gram", "sid").mapInArrow(_met, "gram long, sid long, n long, pos long")
+    met = stored(met, "met").join(nodes.select("sid", *WORDS), "sid").select("gram", "sid", "n", "pos", *WORDS)
+    met = met.repartition("gram").sortWithinPartitions("gram", "sid")
+    buckets = stored(met.mapInArrow(_leaders, f"gram long, sid long, n long, pos long, {words}, lead long, near_lead boolean"), "buckets")
 
     seen = nodes.join(buckets.select("sid").distinct(), "sid").select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
     same = texts.doc_id.eqNullSafe(F.col("id")) & (texts.text_hash == F.col("hash"))
@@ -243,7 +257,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) ->
     led = stored(led.groupBy("a", "b").agg(F.min("gram").alias("gram")), "pairs")
     links = _checked(led, own)
     labels = components(links, "a", "b")
-    named = buckets.join(labels, buckets.sid == labels.node, "left").select("gram", "sid", "n", "pos", "fp", F.coalesce("label", "sid").alias("label"))
+    named = buckets.join(labels, buckets.sid == labels.node, "left").select("gram", "sid", "n", "pos", *WORDS, F.coalesce("label", "sid").alias("label"))
     across = named.repartition("gram").sortWithinPartitions("gram", "sid").mapInArrow(_across, "a long, b long, gram long")
     across = across.groupBy("a", "b").agg(F.min("gram").alias("gram")).join(led.select("a", "b"), ["a", "b"], "left_anti")
     more = _checked(stored(across, "pairs"), own)
@@ -261,11 +275,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship_code(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    sets = stored(own.mapInArrow(partial(_numbers, shingle=shingle), "doc_id long, text_hash long, sid long"), "sets")
+    sets = stored(own.mapInArrow(partial(_numbers, shingle=shingle), "doc_id long, text_hash long, sid long, " + ", ".join(f"{w} long" for w in WORDS)), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    nodes = stored(sets.groupBy("sid").agg(first), "nodes")
+    nodes = stored(sets.groupBy("sid").agg(first, *[F.min(w).alias(w) for w in WORDS]), "nodes")
     labels = components(similar_links(own, nodes, shingle), "a", "b")
-    return with_components(sets, nodes, labels, "sid").select(
+    return with_components(sets.drop(*WORDS), nodes.drop(*WORDS), labels, "sid").select(
         "doc_id",
         "text_hash",
         F.col("first.doc_id").alias("component_id"),

@@ -24,9 +24,7 @@ from quillon.llm.graph import components
 
 SEED = 42
 #: Ways to cut the ring: widths, and budgets that sum to distance - segments + 1.
-CUTS = {8: (8,) * 8, 4: (16, 16, 16, 16), 3: (21, 21, 22), 2: (32, 32)}
-#: Cuts that keys are made of.
-KEYED = (4, 3, 2)
+CUTS = {4: (16, 16, 16, 16), 3: (21, 21, 22), 2: (32, 32)}
 #: Rows with one key that one comparison unit holds; larger buckets are compared block against block.
 BLOCK = 4096
 #: Units of more rows grow trees from node to node; in smaller ones all rows shift along each other. Both try the same chains.
@@ -81,7 +79,7 @@ def plan(nodes: int, distance: int) -> int:
             total += comb(width, t) * (nodes + 0.01 * nodes * nodes / 2.0 ** (width - t + 1))
         return total
 
-    fit = [m for m in KEYED if m <= distance + 1]
+    fit = [m for m in CUTS if m <= distance + 1]
     return min(fit, key=cost) if fit else 0  # no distance, nothing to link
 
 
@@ -156,12 +154,18 @@ def _chain_ok(x: np.ndarray, start: np.ndarray, m: int, distance: int) -> np.nda
     return left
 
 
-def chains_pass(x: np.ndarray, segments: int, distance: int) -> np.ndarray:
-    """Which differences `x` of fingerprints pass every chain from some start, as all within `distance` do, and are within it."""
-    good = np.zeros(len(x), bool)
+def chains_pass(spent: np.ndarray, distance: int) -> np.ndarray:
+    """Of rows of differing bits by segment, those that pass every chain from some start: all within `distance`, and no other."""
+    segments = spent.shape[1]
+    over, good = spent - np.array(budgets(segments, distance)), np.zeros(len(spent), bool)
     for start in range(segments):
         left = np.flatnonzero(~good)
-        good[left[_chain_ok(x[left], np.full(len(left), start), segments, distance)]] = True
+        total = np.zeros(len(left), np.int64)
+        for length in range(segments):
+            total = total + over[left, (start + length) % segments]
+            passed = total <= length
+            left, total = left[passed], total[passed]
+        good[left] = True
     return good
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from quillon.llm.common import free_name, ship_code, stored
+from quillon.llm.common import free_name, ship_code, slices, stored
 
 #: Labelled rows that the model is fitted on at most; chosen by a hash of the id.
 TRAIN_ROWS = 12_000
@@ -213,7 +213,7 @@ class Model:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the distinct words of a text, and a one-value min-hash of its five-word shingles: near copies mostly share it."""
-    for batch in batches:
+    for batch in slices(batches):
         sketches, words = [], []
         for text in batch.column(0).to_pylist():
             tokens = (text or "").lower().split()
@@ -226,7 +226,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch], grammar: Grammar) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [grammar.features(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -290,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         scores = pa.array([model.score(t) for t in batch.column(0).to_pylist()], pa.float64())
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*batch.schema.names[1:], "score"])
 

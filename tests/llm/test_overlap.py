@@ -83,15 +83,16 @@ def test_chains_leave_similar_sets_in():
     import numpy as np
 
     rng = np.random.default_rng(9)
-    fps = lambda sets: np.array([overlap._fingerprint(s) for s in sets], np.int64)
+    kept = lambda a, b: overlap._candidates(np.full(len(a), 9), np.zeros(len(a), np.int64), [np.array(w) for w in zip(*a)], *b)
     passed = []
-    for n in (5, 20, 300):
+    for n in (10, 20, 300):
         base = [rng.integers(-(2**63), 2**63 - 1, n) for _ in range(300)]
         near = [np.concatenate([b[: n - n // 10], rng.integers(-(2**63), 2**63 - 1, n // 10)]) for b in base]
-        x = (fps(base) ^ fps(near)).view(np.uint64)
-        assert overlap.chains_pass(x, overlap.SEGMENTS, overlap.WITHIN).all()
-        x = (fps(base)[1:] ^ fps(base)[:-1]).view(np.uint64)
-        good = overlap.chains_pass(x, overlap.SEGMENTS, overlap.WITHIN)
-        assert (good == (np.bitwise_count(x) <= overlap.WITHIN)).all()
-        passed.append(good.mean())
-    assert passed[-1] < 0.2
+        both = [overlap._fingerprint(s) for s in base + near]
+        one = np.arange(300)
+        assert len(kept(both, (one, one + 300))) == 300
+        good = kept(both, (one[1:], one[:-1]))
+        bits = [sum(((int(x) ^ int(y)) % 2**64).bit_count() for x, y in zip(both[i], both[i - 1])) for i in range(1, 300)]
+        assert good.tolist() == [i for i in range(1, 300) if bits[i - 1] <= overlap.WITHIN]
+        passed.append(len(good))
+    assert passed[-1] == 0
