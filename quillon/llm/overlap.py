@@ -11,9 +11,9 @@ then the fingerprints' pigeonring chains prune, and the exact similarity decides
 - Of two sets that meet, the chains of wider fingerprints of BITS bits over their distinct shingles must stay within
   the budgets of WITHIN bits. A bit differs with a chance of 0.152 at a similarity of 0.8, so a true pair is
   beyond WITHIN, six standard deviations off, with a chance of about 1e-8; at a similarity of 0.3 two in a hundred pass.
-- In a group every set is first compared with one leader, another one in each group. Only pairs that
-  those links leave in different components are then compared, so a dense group of near copies
-  costs no square of its size.
+- In a group every set is first compared with a leader, another one in each group, in some turns. Only
+  pairs that those links leave in different components are then compared, so a dense group of near
+  copies costs no square of its size.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ WORDS = [f"w{i}" for i in range(BITS // 64)]
 SAMPLE, FREQUENT = 8, 200_000
 #: Up to so many ids of candidates are broadcast, so that no set moves which nothing is compared with.
 IDS = 1_000_000
+#: How often each group names a leader before all that are still apart are compared.
+TURNS = 1
 #: Pairs that are compared in one part, about.
 PAIRS = 1000
 
@@ -174,16 +176,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (gram, sid, n, pos)], ["gram", "sid", "n", "pos"])
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each group's leader, another one in each group, and who can be similar to it."""
-    for gram, sid, n, pos, *fp in _whole_groups(batches):
-        mixed = (gram.view(np.uint64) ^ (sid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        order = np.lexsort((mixed, gram))
-        gram, sid, n, pos, *fp = (x[order] for x in (gram, sid, n, pos, *fp))
+def _leaders(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, gram): each group's leader of this turn, another one in each group, with those that can be similar to it and are in other components."""
+    for gram, sid, n, pos, *fp, label in _whole_groups(batches):
+        mixed = (gram.view(np.uint64) ^ (sid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * _WORDS[turn % len(_WORDS)]
+        order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), gram))
+        gram, sid, n, pos, label, *fp = (x[order] for x in (gram, sid, n, pos, label, *fp))
         first = _starts(gram)
-        good, follow = np.zeros(len(gram), bool), np.flatnonzero(first != np.arange(len(gram)))
-        good[_candidates(n, pos, fp, follow, first[follow])] = True
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, sid, n, pos, *fp, sid[first], good)], ["gram", "sid", "n", "pos", *WORDS, "lead", "near_lead"])
+        follow = np.flatnonzero(label != label[first])
+        ok = _candidates(n, pos, fp, follow, first[follow])
+        if len(ok):
+            x, y = sid[ok], sid[first[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(gram[ok])], ["a", "b", "gram"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +241,11 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) ->
     top = sample.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
     frequent, often = top.gram.to_numpy(np.int64), top.n.to_numpy(np.int64)
     keys = texts.select("text").mapInArrow(partial(_prefixes, shingle=shingle, frequent=frequent, often=often), "gram long, sid long, place long")
-    words = ", ".join(f"{w} long" for w in WORDS)
     # Keys are about as large as their texts: parts of half an input part keep what a task holds small.
     parts = max(2 * texts.rdd.getNumPartitions(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = keys.repartition(parts, "gram").sortWithinPartitions("gram", "sid").mapInArrow(_met, "gram long, sid long, n long, pos long")
-    met = stored(met, "met").join(nodes.select("sid", *WORDS), "sid").select("gram", "sid", "n", "pos", *WORDS)
-    met = met.repartition("gram").sortWithinPartitions("gram", "sid")
-    buckets = stored(met.mapInArrow(_leaders, f"gram long, sid long, n long, pos long, {words}, lead long, near_lead boolean"), "buckets")
+    met = stored(met, "met")
+    buckets = stored(met.join(nodes.select("sid", *WORDS), "sid").select("gram", "sid", "n", "pos", *WORDS), "buckets")
 
     seen = nodes.join(buckets.select("sid").distinct(), "sid").select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
     same = texts.doc_id.eqNullSafe(F.col("id")) & (texts.text_hash == F.col("hash"))
@@ -253,16 +255,23 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) ->
     if not own.groupBy("sid").count().where("count > 1").isEmpty():  # sets are dealt anew only where rows repeat
         own = stored(own.dropDuplicates(["sid"]), "compared")
 
-    led = buckets.where("near_lead").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b"), "gram")
-    led = stored(led.groupBy("a", "b").agg(F.min("gram").alias("gram")), "pairs")
-    links = _checked(led, own)
-    labels = components(links, "a", "b")
-    named = buckets.join(labels, buckets.sid == labels.node, "left").select("gram", "sid", "n", "pos", *WORDS, F.coalesce("label", "sid").alias("label"))
-    across = named.repartition("gram").sortWithinPartitions("gram", "sid").mapInArrow(_across, "a long, b long, gram long")
-    across = across.groupBy("a", "b").agg(F.min("gram").alias("gram")).join(led.select("a", "b"), ["a", "b"], "left_anti")
-    more = _checked(stored(across, "pairs"), own)
+    links, tried, labels = None, None, None
+    for turn in range(TURNS + 1):
+        label = F.lit(None).cast("long") if labels is None else F.col("label")
+        named = buckets if labels is None else buckets.join(labels, buckets.sid == labels.node, "left")
+        named = named.select("gram", "sid", "n", "pos", *WORDS, F.coalesce(label, "sid").alias("label"))
+        named = named.repartition("gram").sortWithinPartitions("gram", "sid")
+        # Leaders in turn, and at last everyone with everyone that is still in another component.
+        pairs = named.mapInArrow(partial(_leaders, turn=turn) if turn < TURNS else _across, "a long, b long, gram long")
+        pairs = pairs.groupBy("a", "b").agg(F.min("gram").alias("gram"))
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = _checked(pairs, own)
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        links = found if links is None else links.union(found)
+        if turn < TURNS:
+            labels = stored(components(links, "a", "b"), "labels")
     dropped(own)
-    return links.union(more)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
