@@ -14,7 +14,7 @@ from quillon.errors import QueryError, SemanticError
 from quillon.sources import Connections, FileSource, test_connection
 
 
-def _parser() -> argparse.ArgumentParser:
+def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillon")
     top.add_argument("--project", default=".")
     top.add_argument("--config")
@@ -64,7 +64,7 @@ def _spark():
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
-    args = _parser().parse_args(argv)
+    args = parser().parse_args(argv)
     show = lambda x: print(json.dumps(x, indent=2, default=str, ensure_ascii=False))
     try:
         root = loader.find_project(args.project) or Path(args.project)

@@ -45,9 +45,9 @@ class SemanticEngine:
         """The rows behind a view."""
         source = self.sources.get(view.datasource or "")
         if view.sql:
-            text = refs.backticked(view.sql)
             if source:
-                return source.query(self.spark, text)
+                return source.query(self.spark, view.sql)
+            text = refs.backticked(view.sql)
             for name in self.tables:
                 if re.search(rf"\b{re.escape(name)}\b", text):
                     self._table(name).createOrReplaceTempView(name)
@@ -68,8 +68,7 @@ class SemanticEngine:
     def planner(self) -> Planner:
         return Planner(self.layer, self.relation, self.today)
 
-    def _one_source(self, q: request.QueryRequest) -> None:
-        names = {m.split(".")[0] for m in (*q.measures, *q.dimensions, *(t.dimension for t in q.time_dimensions))}
+    def _one_source(self, names: set[str]) -> None:
         found = {v.datasource for v in self.layer.views if v.name in names and v.datasource}
         if len(found) > 1:
             raise PlanError(f"a query cannot span datasources: {', '.join(sorted(found))}")
@@ -80,8 +79,15 @@ class SemanticEngine:
     def query(self, query: Any) -> DataFrame:
         """The result of a request as a DataFrame; nothing runs until it is read."""
         q = request.parse(query)
-        self._one_source(q)
-        return self.planner().plan(q)
+        self._one_source(set(self.views_used(q)))
+        read: set[str] = set()  # views on join paths and in cross references come up while planning
+
+        def relation(view: View) -> DataFrame:
+            read.add(view.name)
+            self._one_source(read)
+            return self.relation(view)
+
+        return Planner(self.layer, relation, self.today).plan(q)
 
     def views_used(self, query: Any) -> list[str]:
         q = request.parse(query)
@@ -90,8 +96,9 @@ class SemanticEngine:
         return sorted({m.split(".")[0] for m in members})
 
     def explain(self, query: Any, mode: str = "formatted") -> str:
-        """The physical plan as text."""
-        return self.spark._jvm.PythonSQLUtils.explainString(self.query(query)._jdf.queryExecution(), mode)
+        """The physical plan of a request, or of the DataFrame made of it, as text."""
+        df = query if isinstance(query, DataFrame) else self.query(query)
+        return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
     def with_topic_filters(self, query: Any, topic: str) -> DataFrame:
         """A request with the default filters of a topic, which otherwise only describe it."""

@@ -50,7 +50,7 @@ def run(engine: SemanticEngine, query: Any, rows: int = ROWS) -> dict:
     try:
         q = request.parse(query)
         df, columns = engine.query(q), engine.columns(q)
-        plan = engine.explain(q)
+        plan = engine.explain(df)
     except SemanticError as e:
         return failure(e)
     except PySparkException as e:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon import loader, profile
+from quillon import bootstrap, catalog, cli, envelope, loader, profile
 from quillon.engine import SemanticEngine
+from quillon.sources import Connections, introspect
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 MODEL = Path(__file__).parent / "tpch_model"
@@ -21,8 +24,12 @@ def model():
     return loader.project(MODEL, {"big": "400000"})
 
 
+#: The day that relative date ranges count from here.
+TODAY = date(1998, 5, 17)
+
+
 def engine(spark: SparkSession, sf_dir: str) -> SemanticEngine:
-    return SemanticEngine(model(), spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})
+    return SemanticEngine(model(), spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES}, today=TODAY)
 
 
 QUERIES: dict[str, tuple[Any, str]] = {}
@@ -127,6 +134,26 @@ _q("time_date_range", "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS ord
    measures=["orders.revenue"], time_dimensions=[_t("orders.ordered_at", "month", ["1996-02-01", "1997-02-01"])])
 _q("time_on_date_dimension", "SELECT date_trunc('quarter', CAST(o_orderdate AS DATE))::TIMESTAMP AS orders__ordered_on__quarter, COUNT(*) AS orders__count FROM orders GROUP BY 1", measures=["orders.count"], time_dimensions=[_t("orders.ordered_on", "quarter")])
 
+# Phrases count from TODAY, a Sunday; the last day of a range counts to its first moment.
+_D = f"DATE '{TODAY}'"
+for _name, _phrase, _low, _high in (
+    ("today", "today", _D, _D), ("yesterday", "yesterday", f"{_D} - 1", f"{_D} - 1"),
+    ("this_week", "this week", f"date_trunc('week', {_D})", f"date_trunc('week', {_D}) + INTERVAL 6 DAY"),
+    ("this_month", "this month", f"date_trunc('month', {_D})", f"date_trunc('month', {_D}) + INTERVAL 1 MONTH - INTERVAL 1 DAY"),
+    ("this_quarter", "this quarter", f"date_trunc('quarter', {_D})", f"date_trunc('quarter', {_D}) + INTERVAL 3 MONTH - INTERVAL 1 DAY"),
+    ("this_year", "this year", f"date_trunc('year', {_D})", "DATE '1998-12-31'"),
+    ("last_week", "last week", f"date_trunc('week', {_D}) - INTERVAL 7 DAY", f"date_trunc('week', {_D}) - INTERVAL 1 DAY"),
+    ("last_month", "last month", f"date_trunc('month', {_D}) - INTERVAL 1 MONTH", f"date_trunc('month', {_D}) - INTERVAL 1 DAY"),
+    ("last_quarter", "last quarter", f"date_trunc('quarter', {_D}) - INTERVAL 3 MONTH", f"date_trunc('quarter', {_D}) - INTERVAL 1 DAY"),
+    ("last_year", "last year", "DATE '1997-01-01'", "DATE '1997-12-31'"),
+    ("last_days", "last 10 days", f"{_D} - 10", f"{_D} - 1"), ("last_weeks", "last 3 weeks", f"{_D} - 21", f"{_D} - 1"),
+    ("last_months", "last 5 months", f"{_D} - INTERVAL 5 MONTH", f"{_D} - 1"), ("last_years", "last 2 years", f"{_D} - INTERVAL 2 YEAR", f"{_D} - 1"),
+):
+    _q(f"range_{_name}", f"SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS orders__ordered_at__day, COUNT(*) AS orders__count FROM orders WHERE o_orderdate >= {_low} AND o_orderdate <= {_high} GROUP BY 1",
+       measures=["orders.count"], time_dimensions=[_t("orders.ordered_at", "day", [_phrase])])
+_q("variable_dimension", "SELECT o_totalprice > 400000 AS orders__very_large, COUNT(*) AS orders__count FROM orders GROUP BY 1", dimensions=["orders.very_large"], measures=["orders.count"])
+_q("interval_dimension", "SELECT date_trunc('quarter', o_orderdate + INTERVAL 30 DAY)::TIMESTAMP AS orders__due_at__quarter, COUNT(*) AS orders__count FROM orders GROUP BY 1", measures=["orders.count"], time_dimensions=[_t("orders.due_at", "quarter")])
+
 # ---- joins -------------------------------------------------------------------------------
 _q("join_two", "SELECT c_mktsegment AS customer__segment, ROUND(SUM(o_totalprice), 2) AS orders__revenue FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1", dimensions=["customer.segment"], measures=["orders.revenue"])
 _q("join_three", "SELECT o_orderstatus AS orders__status, p_brand AS part__brand, SUM(l_quantity) AS lineitem__quantity FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2", dimensions=["orders.status", "part.brand"], measures=["lineitem.quantity"])
@@ -137,6 +164,10 @@ _q("join_through_hint", "SELECT n_name AS nation__name, COUNT(*) AS lineitem__co
 _q("join_sql_view", "SELECT c_mktsegment AS customer__segment, ROUND(SUM(s), 2) AS customer_facts__spent FROM (SELECT o_custkey, SUM(o_totalprice) AS s FROM orders GROUP BY 1) LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1", dimensions=["customer.segment"], measures=["customer_facts.spent"])
 _q("join_partial", "SELECT lang AS documents__lang, COUNT(*) AS labels__count, CAST(SUM(toxic) AS BIGINT) AS labels__toxic_count FROM labels LEFT JOIN documents USING (doc_id) GROUP BY 1", dimensions=["documents.lang"], measures=["labels.count", "labels.toxic_count"])
 
+_PLACE = "(SELECT l_orderkey AS k, l_linenumber AS l, COUNT(*) AS n, MAX(l_quantity) AS most FROM lineitem GROUP BY 1, 2)"
+_q("join_two_keys", f"SELECT n > 1 AS place__is_shared, COUNT(*) AS lineitem__count, SUM(l_quantity) AS lineitem__quantity FROM lineitem LEFT JOIN {_PLACE} ON k = l_orderkey AND l = l_linenumber GROUP BY 1", dimensions=["place.is_shared"], measures=["lineitem.count", "lineitem.quantity"])
+_q("fanout_two_keys", f"SELECT l_returnflag AS lineitem__return_flag, COUNT(*) AS place__count, SUM(most) AS place__most FROM (SELECT DISTINCT l_returnflag, k, l, most FROM {_PLACE} LEFT JOIN lineitem ON k = l_orderkey AND l = l_linenumber) GROUP BY 1", dimensions=["lineitem.return_flag"], measures=["place.count", "place.most"])
+
 # ---- fan-out -----------------------------------------------------------------------------
 _q("fanout_one_view", "SELECT l_returnflag AS lineitem__return_flag, ROUND(SUM(o_totalprice), 2) AS orders__revenue, COUNT(*) AS orders__count FROM (SELECT DISTINCT l_returnflag, o_orderkey, o_totalprice FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1",
    dimensions=["lineitem.return_flag"], measures=["orders.revenue", "orders.count"])
@@ -175,13 +206,29 @@ _q("motif_percent_of_total", _BY + " SELECT orders__order_priority, orders__reve
 _q("motif_cumulative", _BASE.format(g="month") + f" SELECT {_TIME}, ROUND(SUM(m) OVER (ORDER BY orders__ordered_at__month ROWS UNBOUNDED PRECEDING), 2) AS cumulative_value FROM b", motif="cumulative", **_M)
 _q("motif_order_limit", _BY + " SELECT orders__order_priority, orders__revenue, rank() OVER (ORDER BY m DESC) AS rank FROM b ORDER BY rank LIMIT 3", motif="rank", order=[{"id": "__motif.rank"}], limit=3, **_P)
 _q("motif_over_fanout", "WITH b AS (SELECT l_returnflag AS lineitem__return_flag, COUNT(DISTINCT o_orderkey) AS orders__count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT lineitem__return_flag, orders__count, CAST(SUM(orders__count) OVER () AS BIGINT) AS total, ROUND(orders__count / SUM(orders__count) OVER (), 6) AS share FROM b", dimensions=["lineitem.return_flag"], measures=["orders.count"], motif="contribution")
-_q("motif_custom_min_max", _BY + ", x AS (SELECT *, MIN(m) OVER () AS lo, MAX(m) OVER () AS hi FROM b) SELECT orders__order_priority, orders__revenue, ROUND(lo, 2) AS lowest, ROUND(hi, 2) AS highest, ROUND((m - lo) / (hi - lo), 6) AS scaled FROM x", motif="min_max", **_P)
-_q("motif_custom_herfindahl", _BY + ", x AS (SELECT *, m / SUM(m) OVER () AS p FROM b) SELECT orders__order_priority, orders__revenue, ROUND(p, 6) AS part, ROUND(p * p, 6) AS part_squared, ROUND(SUM(p * p) OVER (), 6) AS index FROM x", motif="herfindahl", **_P)
-_q("motif_custom_against", _BY + " SELECT orders__order_priority, orders__revenue, orders__count, ROUND(m * 100 / orders__count, 2) AS percent, ROUND(m - orders__count, 2) AS difference FROM b", dimensions=["orders.order_priority"], measures=["orders.revenue", "orders.count"], motif="against", motif_params={"actual": "orders.revenue", "baseline": "orders.count"})
-_q("motif_custom_base_100", _BASE.format(g="month") + f" SELECT {_TIME}, ROUND(first_value(m) OVER (ORDER BY orders__ordered_at__month), 2) AS base_value, ROUND(m * 100 / first_value(m) OVER (ORDER BY orders__ordered_at__month), 4) AS index_value FROM b", motif="base_100", **_M)
-_q("motif_custom_turning", _BASE.format(g="month") + f", x AS (SELECT *, lag(m) OVER w AS p, lead(m) OVER w AS n FROM b WINDOW w AS (ORDER BY orders__ordered_at__month)) SELECT {_TIME}, ROUND(p, 2) AS before, ROUND(n, 2) AS after, CASE WHEN m > p AND m > n THEN 1 ELSE 0 END AS is_peak, CASE WHEN m < p AND m < n THEN 1 ELSE 0 END AS is_valley FROM x", motif="turning", **_M)
-_q("motif_custom_quotient", _BY + " SELECT orders__order_priority, orders__revenue, orders__count, ROUND(m / orders__count, 4) AS quotient FROM b", dimensions=["orders.order_priority"], measures=["orders.revenue", "orders.count"], motif="quotient", motif_params={"numerator": "orders.revenue", "denominator": "orders.count"})
-_q("motif_custom_rolling_total", _BASE.format(g="month") + f" SELECT {_TIME}, ROUND(SUM(m) OVER (ORDER BY orders__ordered_at__month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS rolling_total FROM b", motif="rolling_total", **_M)
+_DAY = _BASE.format(g="month")
+_AMOUNT = {"amount": "orders.revenue", "units": "orders.count"}
+_q("motif_custom_abc_class", _BY + ", x AS (SELECT *, SUM(m) OVER (ORDER BY m DESC ROWS UNBOUNDED PRECEDING) / SUM(m) OVER () AS c, COALESCE(SUM(m) OVER (ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / SUM(m) OVER () AS p FROM b) SELECT orders__order_priority, orders__revenue, ROUND(c, 6) AS reached, CASE WHEN p < 0.5 THEN 'A' WHEN p < 0.7 THEN 'B' ELSE 'C' END AS abc FROM x",
+   motif="abc_class", motif_params={"b_until": 0.7}, **_P)
+_q("motif_custom_segment_gap", _BY + ", x AS (SELECT *, MAX(m) OVER () AS hi, MIN(m) OVER () AS lo FROM b) SELECT orders__order_priority, orders__revenue, ROUND(hi - m, 2) AS behind_best, ROUND(m - lo, 2) AS over_last, ROUND(100 * (hi - m) / hi, 6) AS behind_percent FROM x", motif="segment_gap", **_P)
+_q("motif_custom_compound_rate", _DAY + f", x AS (SELECT *, row_number() OVER w - 1 AS k, first_value(m) OVER w AS f FROM b WINDOW w AS (ORDER BY orders__ordered_at__month)) SELECT {_TIME}, CAST(k AS INTEGER) AS periods, ROUND(CASE WHEN k > 0 THEN pow(m / f, 1.0 / k) - 1 END, 6) AS rate FROM x", motif="compound_rate", **_M)
+_q("motif_custom_order_pause", "WITH b AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS d, SUM(o_totalprice) AS m FROM orders WHERE o_custkey <= 20 GROUP BY 1), x AS (SELECT *, date_diff('day', lag(d) OVER w, d) AS p, date_diff('day', d, lead(d) OVER w) AS n FROM b WINDOW w AS (ORDER BY d)) SELECT d AS orders__ordered_at__day, ROUND(m, 2) AS orders__revenue, CAST(p AS INTEGER) AS days_before, CAST(n AS INTEGER) AS days_after, CASE WHEN p > 20 AND n > 20 THEN 1 ELSE 0 END AS lonely FROM x",
+   measures=["orders.revenue"], time_dimensions=[_t("orders.ordered_at", "day")], filters=[_f("orders.customer_id", "lte", "20")], motif="order_pause", motif_params={"usual_days": 20})
+_q("motif_custom_price_variance", _BY + " SELECT orders__order_priority, orders__revenue, orders__count, ROUND(SUM(m) OVER () / SUM(orders__count) OVER (), 2) AS average_price, ROUND(m - orders__count * (SUM(m) OVER () / SUM(orders__count) OVER ()), 2) AS variance FROM b", dimensions=["orders.order_priority"], measures=["orders.revenue", "orders.count"], motif="price_variance", motif_params=_AMOUNT)
+_q("motif_custom_momentum", _DAY + f" SELECT {_TIME}, ROUND(AVG(m) OVER (ORDER BY orders__ordered_at__month ROWS 2 PRECEDING) - AVG(m) OVER (ORDER BY orders__ordered_at__month ROWS 5 PRECEDING), 2) AS lead_of_short, ROUND(AVG(m) OVER (), 2) AS centre, ROUND(stddev_pop(m) OVER (), 2) AS unevenness FROM b", motif="momentum", motif_params={"long": 5}, **_M)
+# A motif over as many rows as there are customers.
+_CUSTOMERS = "WITH b AS (SELECT o_custkey AS orders__customer_id, ROUND(SUM(o_totalprice), 2) AS orders__revenue, SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS m FROM orders GROUP BY 1)"
+_C = {"dimensions": ["orders.customer_id"], "measures": ["orders.revenue"]}
+_q("motif_rank_customers", "WITH b AS (SELECT o_custkey AS orders__customer_id, COUNT(*) AS orders__count FROM orders GROUP BY 1) SELECT *, rank() OVER (ORDER BY orders__count DESC) AS rank FROM b", dimensions=["orders.customer_id"], measures=["orders.count"], motif="rank")
+_q("motif_contribution_customers", _CUSTOMERS + " SELECT orders__customer_id, orders__revenue, ROUND(SUM(m) OVER () / 100, 2) AS total, ROUND(m / SUM(m) OVER (), 6) AS share FROM b", motif="contribution", **_C)
+_q("motif_anomaly_customers", "WITH b AS (SELECT o_custkey AS orders__customer_id, COUNT(*) AS orders__count FROM orders GROUP BY 1), s AS (SELECT *, AVG(orders__count) OVER () AS a, stddev_pop(orders__count) OVER () AS d FROM b) SELECT orders__customer_id, orders__count, ROUND(a, 2) AS mean_value, ROUND(d, 2) AS stddev_value, ROUND((orders__count - a) / d, 6) AS z_score, CASE WHEN abs((orders__count - a) / d) > 2 THEN 1 ELSE 0 END AS is_anomaly FROM s", dimensions=["orders.customer_id"], measures=["orders.count"], motif="anomaly")
+_TWO = "WITH b AS (SELECT o_custkey AS orders__customer_id, date_trunc('month', o_orderdate)::TIMESTAMP AS orders__ordered_at__month, COUNT(*) AS orders__count FROM orders GROUP BY 1, 2)"
+_CT = {"dimensions": ["orders.customer_id"], "measures": ["orders.count"], "time_dimensions": [_t("orders.ordered_at", "month")]}
+_ORDER = "(ORDER BY orders__ordered_at__month, orders__customer_id{})"
+_q("motif_cumulative_customers", _TWO + f" SELECT *, CAST(SUM(orders__count) OVER {_ORDER.format(' ROWS UNBOUNDED PRECEDING')} AS BIGINT) AS cumulative_value FROM b", motif="cumulative", **_CT)
+_q("motif_mom_customers", _TWO + f" SELECT *, lag(orders__count) OVER {_ORDER.format('')} AS previous_value, ROUND((orders__count - lag(orders__count) OVER {_ORDER.format('')}) / lag(orders__count) OVER {_ORDER.format('')}, 6) AS growth_rate FROM b", motif="mom", **_CT)
+_q("motif_moving_average_customers", _TWO + f" SELECT *, ROUND(AVG(orders__count) OVER {_ORDER.format(' ROWS BETWEEN 6 PRECEDING AND CURRENT ROW')}, 2) AS moving_avg FROM b", motif="moving_average", **_CT)
+_q("motif_trend_customers", _TWO + f", n AS (SELECT *, row_number() OVER {_ORDER.format('')} AS row_n FROM b) SELECT *, ROUND(regr_slope(orders__count, row_n) OVER (), 2) AS slope, ROUND(regr_intercept(orders__count, row_n) OVER (), 2) AS intercept, ROUND(regr_intercept(orders__count, row_n) OVER () + regr_slope(orders__count, row_n) OVER () * row_n, 2) AS trend_value FROM n", motif="trend", **_CT)
 
 # ---- rolling measures --------------------------------------------------------------------
 for _name, _member, _part, _sql in (
@@ -196,7 +243,7 @@ for _name, _member, _part, _sql in (
     _q(f"rolling_{_name}", f"SELECT t AS orders__ordered_at__month, {_value} AS {_member.replace('.', '__')} FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS t, {_part} FROM orders GROUP BY 1)", measures=[_member], time_dimensions=[_t("orders.ordered_at", "month")])
 
 #: Float columns are compared at so many digits.
-_DIGITS = {"share": 6, "growth_rate": 6, "z_score": 6, "percent_of_total": 6, "scaled": 6, "part": 6, "part_squared": 6, "index": 6, "orders__urgent_share": 6, "quotient": 4, "index_value": 4, "orders__average_total": 4, "orders__median_total": 4, "orders__revenue_per_order": 4, "orders__revenue_per_item": 4}
+_DIGITS = {"share": 6, "growth_rate": 6, "z_score": 6, "percent_of_total": 6, "reached": 6, "behind_percent": 6, "rate": 6, "orders__urgent_share": 6, "orders__average_total": 4, "orders__median_total": 4, "orders__revenue_per_order": 4, "orders__revenue_per_item": 4}
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -226,17 +273,73 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.values(engine(spark, sf_dir), "events.event_type", profile.FEW_LIMIT)
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _cli_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request as the command line spells it: filters, order, limit, motif and its parameter."""
+    flags = ["query", "--dimension", "orders.order_priority", "--measure", "orders.count", "--filter", "orders.status:equals:F,O", "--filter", "orders.total:gt:1000", "--order", "orders.count:desc", "--limit", "4", "--motif", "anomaly", "--motif-param", "threshold=1"]
+    return _rounded(engine(spark, sf_dir).query(cli.request_of(cli.parser().parse_args(flags))))
+
+
+def _topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).with_topic_filters({"dimensions": ["orders.status"], "measures": ["orders.count"]}, "sales")
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second step of a saved query."""
+    made = engine(spark, sf_dir)
+    return _rounded(made.query(made.layer.saved_queries[0].steps[1].query))
+
+
+def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an envelope says of a good and of two bad requests."""
+    made = engine(spark, sf_dir)
+    out = [envelope.run(made, q, rows=3) for q in ({"dimensions": ["orders.order_id"]}, {"measures": ["orders.nothing"]}, "{")]
+    return _rows(spark, [(x["status"], x.get("row_count"), len(x.get("data") or ()), ",".join(x.get("views_used") or ())) for x in out], "status string, row_count long, shown int, views string")
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.table(spark, model()).where("view = 'region' OR kind = 'topic'").select("kind", "path", "type")
+
+
+def _schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = introspect.of_frame("labels", spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _rows(spark, [(found.name, c.name, c.type) for c in found.columns], "table_name string, column_name string, type string")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view drafted from a file, asked through a configured folder of files."""
+    view = bootstrap.view("nation", spark.read.parquet(f"{sf_dir}/nation.parquet")) | {"datasource": "folder"}
+    sources = Connections({"databases": [{"name": "folder", "type": "files", "file_search_path": sf_dir}]}).all()
+    made = SemanticEngine(loader.layer([yaml.safe_dump(view)]), spark, sources=sources)
+    return made.query({"dimensions": ["nation.n_regionkey"], "measures": ["nation.count", "nation.total_n_nationkey"]})
+
+
+_OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "profile_values": (_values, f"SELECT event_type AS value, COUNT(*) AS frequency FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {profile.FEW_LIMIT}"),
+    "cli_flags": (_cli_flags, "WITH b AS (SELECT o_orderpriority AS orders__order_priority, COUNT(*) AS orders__count FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 1000 GROUP BY 1), s AS (SELECT *, AVG(orders__count) OVER () AS a, stddev_pop(orders__count) OVER () AS d FROM b) SELECT orders__order_priority, orders__count, ROUND(a, 2) AS mean_value, ROUND(d, 2) AS stddev_value, ROUND((orders__count - a) / d, 6) AS z_score, CASE WHEN abs((orders__count - a) / d) > 1 THEN 1 ELSE 0 END AS is_anomaly FROM s ORDER BY orders__count DESC LIMIT 4"),
+    "topic_filters": (_topic, "SELECT o_orderstatus AS orders__status, COUNT(*) AS orders__count FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1"),
+    "saved_step": (_saved, _BY + " SELECT orders__order_priority, orders__revenue, ROUND(SUM(m) OVER (), 2) AS total, ROUND(m / SUM(m) OVER (), 6) AS share FROM b"),
+    "envelope_statuses": (_envelope, "SELECT 'success' AS status, COUNT(*) AS row_count, 3 AS shown, 'orders' AS views FROM orders UNION ALL SELECT 'compile_error', NULL, 0, '' UNION ALL SELECT 'parse_error', NULL, 0, ''"),
+    "catalog_entries": (_catalog, "SELECT * FROM (VALUES ('view', 'region', 'table'), ('dimension', 'region.region_id', 'number'), ('dimension', 'region.name', 'string'), ('measure', 'region.count', 'count'), ('entity', 'region.region', 'primary'), ('topic', 'sales', NULL)) t(kind, path, type)"),
+    "schema_columns": (_schema, "SELECT 'labels' AS table_name, column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type FROM (DESCRIBE labels)"),
+    "file_source": (_files, "SELECT n_regionkey AS nation__n_regionkey, COUNT(*) AS nation__count, CAST(SUM(n_nationkey) AS BIGINT) AS nation__total_n_nationkey FROM nation GROUP BY 1"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def make(request: dict) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: _rounded(engine(spark, sf_dir).query(request))
 
     out = {name: make(request) for name, (request, _) in QUERIES.items()}
-    return out | {name: _profile(target) for name, (target, _) in _PROFILES.items()} | {"profile_values": _values}
+    return out | {name: _profile(target) for name, (target, _) in _PROFILES.items()} | {name: run for name, (run, _) in _OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, sql) in QUERIES.items()} | {name: sql for name, (_, sql) in _PROFILES.items()}
-    return out | {"profile_values": f"SELECT event_type AS value, COUNT(*) AS frequency FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {profile.FEW_LIMIT}"}
+    return out | {name: sql for name, (_, sql) in _OTHERS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ class SessionSource:
         return spark.table(refs.table_name(name))
 
     def query(self, spark: SparkSession, sql: str) -> DataFrame:
-        return spark.sql(sql)
+        return spark.sql(refs.backticked(sql))
 
 
 @dataclass
@@ -93,10 +93,31 @@ class ConnectorSource:
 
     def redacted(self) -> dict[str, str]:
         """Options without secrets, fit for messages."""
-        hidden = re.compile("password|token|secret|credentials", re.I)
+        hidden = re.compile("password|pwd|token|secret|credentials", re.I)
         return {k: "***" if hidden.search(k) else re.sub(r"((?:token|password)=)[^&;]+", r"\1***", v) for k, v in self.options.items()}
 
 
+@dataclass
+class EmbeddedSource:
+    """A SQLite or DuckDB file that executors share, read in Python without a driver."""
+
+    kind: str
+    path: str
+
+    def _load(self, spark: SparkSession, sql: str) -> DataFrame:
+        from quillon.sources.embedded import EmbeddedDataSource
+
+        spark.dataSource.register(EmbeddedDataSource)
+        return spark.read.format(EmbeddedDataSource.name()).options(engine=self.kind, path=self.path, query=sql).load()
+
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        quoted = ".".join('"' + part.replace('"', '""') + '"' for part in name.split("."))
+        return self._load(spark, f"SELECT * FROM {quoted}")
+
+    def query(self, spark: SparkSession, sql: str) -> DataFrame:
+        return self._load(spark, sql)
+
+
 def _jdbc(url: str, driver: str, c: Mapping[str, Any], user: bool = True, password_required: bool = False) -> ConnectorSource:
     options = {"url": url, "driver": driver, "fetchsize": str(c.get("fetchsize", 10_000))}
     if user:
@@ -117,6 +138,8 @@ def connect(config: Mapping[str, Any]) -> Source:
         return SessionSource()
     if kind in ("files", "duckdb") and c.get("file_search_path"):
         return FileSource(str(c["file_search_path"]))
+    if kind in ("duckdb", "sqlite") and str(c.get("reader", "")) == "python":
+        return EmbeddedSource(kind, credential(c, "path"))
     if kind == "duckdb":
         return _jdbc(f"jdbc:duckdb:{credential(c, 'path', '')}", "org.duckdb.DuckDBDriver", c, user=False)
     if kind == "motherduck":
@@ -138,7 +161,7 @@ def connect(config: Mapping[str, Any]) -> Source:
     if kind == "databricks":
         url = f"jdbc:databricks://{credential(c, 'host')}:443;httpPath=/sql/1.0/warehouses/{credential(c, 'warehouse_id')};AuthMech=3;UID=token"
         source = _jdbc(url, "com.databricks.client.jdbc.Driver", c, user=False)
-        source.options["PWD_token"] = credential(c, "token")
+        source.options["PWD"] = credential(c, "token")
         return source
     if kind == "snowflake":
         names = {"sfURL": f"{credential(c, 'account')}.snowflakecomputing.com", "sfUser": credential(c, "user"), "sfPassword": credential(c, "password")}

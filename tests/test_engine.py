@@ -276,6 +276,76 @@ def test_connections(monkeypatch):
         found.find("two")
 
 
+def test_remote_views_keep_their_sql():
+    """SQL of a connection goes out as it is written; only the session's own has Spark's quotes."""
+    sent = []
+
+    class Remote:
+        def query(self, spark, sql):
+            sent.append(sql)
+
+    layer = loader.layer(['name: v\nsql: SELECT "Order Id" FROM t\ndatasource: far\ndimensions: [{name: x, type: number, expr: x}]'])
+    made = SemanticEngine(layer, None, sources={"far": Remote()})
+    made.relation(layer.views[0])
+    assert sent == ['SELECT "Order Id" FROM t']
+    token = connect({"type": "databricks", "host": "h", "warehouse_id": "w", "token": "t0p"})
+    assert token.options["PWD"] == "t0p" and token.redacted()["PWD"] == "***"
+
+
+def test_embedded_files(spark, tmp_path):
+    """SQLite and DuckDB files through the Python data source, nulls, mixed types and empty results too."""
+    import sqlite3
+
+    import duckdb
+
+    lite, duck = str(tmp_path / "a.sqlite"), str(tmp_path / "a.duckdb")
+    with sqlite3.connect(lite) as con:
+        con.execute('CREATE TABLE "stock list" (id INTEGER, name TEXT, weight REAL, mixed, raw BLOB)')
+        con.executemany('INSERT INTO "stock list" VALUES (?, ?, ?, ?, ?)', [(1, "ax", 1.5, 3, b"x"), (2, None, 2, "two", None), (None, "é", None, None, b"")])
+    with duckdb.connect(duck) as con:
+        con.execute("CREATE TABLE stock AS SELECT range AS id, 'n' || range AS name, DATE '2024-01-01' + range::INT AS day FROM range(25000)")
+    small, large = connect({"type": "sqlite", "path": lite, "reader": "python"}), connect({"type": "duckdb", "path": duck, "reader": "python"})
+    rows = sorted(small.table(spark, "stock list").collect(), key=str)
+    assert [tuple(r) for r in rows] == [(1, "ax", 1.5, "3", bytearray(b"x")), (2, None, 2.0, "two", None), (None, "é", None, None, bytearray(b""))]
+    assert small.query(spark, 'SELECT id FROM "stock list" WHERE id > 5').count() == 0 and ping(spark, small) and ping(spark, large)
+    assert large.table(spark, "stock").agg({"id": "sum"}).first()[0] == 25000 * 24999 // 2
+    view = "name: stock\ntable: stock\ndatasource: duck\ndimensions: [{name: day, type: date, expr: day}]\nmeasures: [{name: n, type: count}]"
+    made = SemanticEngine(loader.layer([view]), spark, sources={"duck": large})
+    q = {"measures": ["stock.n"], "time_dimensions": [{"dimension": "stock.day", "granularity": "year"}], "order": [{"id": "stock.day"}], "limit": 1}
+    assert made.query(q).first()[1] == 366
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo", "UTC"])
+def test_times_do_not_depend_on_the_session(spark, zone):
+    """Hours that a zone skips or repeats, in and out of the session's zone."""
+    from quillon.functions import truncated
+
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = ["2024-03-10 02:30:45.25", "2024-11-03 01:59:59", "1969-12-31 23:30:10.5", "2024-03-09 16:00:00"]
+        rows = spark.createDataFrame([(datetime.fromisoformat(t),) for t in times], "t timestamp_ntz")
+        cut = lambda g, tz=None: [str(r[0]) for r in rows.select(truncated(rows.t, g, tz)).collect()]
+        assert cut("hour") == ["2024-03-10 02:00:00", "2024-11-03 01:00:00", "1969-12-31 23:00:00", "2024-03-09 16:00:00"]
+        assert cut("minute")[0] == "2024-03-10 02:30:00" and cut("second")[0] == "2024-03-10 02:30:45" and cut("second")[2] == "1969-12-31 23:30:10"
+        assert cut("day")[0] == "2024-03-10 00:00:00" and cut("week")[0] == "2024-03-04 00:00:00" and cut("quarter")[1] == "2024-10-01 00:00:00"
+        assert cut("hour", "Asia/Tokyo")[0] == "2024-03-10 11:00:00" and cut("day", "America/New_York")[3] == "2024-03-09 00:00:00"
+        assert cut("hour", "America/New_York")[0] == "2024-03-09 21:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_every_view_counts_for_the_datasource(spark):
+    """Views that only filters, segments, join paths or cross references name."""
+    a = "name: a\ntable: a\ndatasource: one\nentities: [{name: b, type: foreign, key: b}]\ndimensions: [{name: b, type: number, expr: b}, {name: far, type: number, expr: '{{b.x}}'}]\nmeasures: [{name: n, type: count}]"
+    b = "name: b\ntable: b\ndatasource: two\nentities: [{name: b, type: primary, key: x}]\ndimensions: [{name: x, type: number, expr: x}]\nsegments: [{name: s, expr: x > 0}]"
+    tables = {n: spark.createDataFrame([(1,)], f"{c} int") for n, c in (("a", "b"), ("b", "x"))}
+    made = SemanticEngine(loader.layer([a, b]), spark, tables)
+    assert made.query({"measures": ["a.n"]}).first()[0] == 1
+    for more in ({"filters": [{"member": "b.x", "operator": "gt", "values": ["0"]}]}, {"segments": ["b.s"]}, {"dimensions": ["a.far"]}):
+        with pytest.raises(PlanError, match="span"):
+            made.query({"measures": ["a.n"]} | more)
+
+
 def test_ping(spark):
     assert ping(spark, connect({"type": "spark"}))
 
