@@ -10,40 +10,40 @@ from quillon.engine import SemanticEngine
 from quillon.errors import PlanError, QueryError, SchemaError, SourceError
 from quillon.sources import Connections, FileSource, connect, credential, introspect, test_connection as ping
 
-EVENTS = [
-    ("e001", "page_view", "u1", "2025-01-15 10:00:00", "US", "web", 0), ("e002", "purchase", "u1", "2025-01-15 10:30:00", "US", "web", 4999),
-    ("e003", "page_view", "u2", "2025-01-15 11:00:00", "UK", "ios", 0), ("e004", "purchase", "u2", "2025-01-15 12:00:00", "UK", "ios", 2500),
-    ("e005", "signup", "u3", "2025-01-16 09:00:00", None, "web", 0), ("e006", "purchase", "u3", "2025-01-16 09:30:00", "DE", "web", 9999),
-    ("e007", "click", "u5", "2025-01-16 10:00:00", "JP", "android", 0), ("e008", "page_view", "u4", "2025-01-16 11:00:00", "US", "web", 0),
-    ("e009", "click", "u5", "2025-01-17 10:00:00", "JP", "android", 0), ("e010", "purchase", "u4", "2025-01-17 12:00:00", "US", "web", 1500),
-    ("e011", "page_view", "u2", "2025-01-17 13:00:00", "UK", "ios", 0), ("e012", "click", "u1", "2025-01-17 16:00:00", "US", "web", 0),
+# Parcels on their way, invented for these tests: id, step, sender, when, country, carrier, fee in cents.
+PARCELS = [
+    ("p1", "fee", "ann", "2024-06-03 08:15:00", "NO", "road", 1250), ("p2", "scan", "ann", "2024-06-03 09:40:00", "NO", "road", 0),
+    ("p3", "fee", "bob", "2024-06-03 17:05:00", "PT", "rail", 3000), ("p4", "move", "cid", "2024-06-04 07:30:00", "AT", "rail", 0),
+    ("p5", "fee", "cid", "2024-06-04 11:20:00", "AT", "air", 7600), ("p6", "scan", "dee", "2024-06-04 23:59:59", None, "air", 0),
+    ("p7", "fee", "dee", "2024-06-05 06:00:00", "PT", "road", 450), ("p8", "move", "bob", "2024-06-05 12:10:00", "IS", "rail", 0),
+    ("p9", "fee", "eve", "2024-06-05 13:45:00", "NO", "air", 2200), ("p10", "fee", "ann", "2024-06-05 20:30:00", "PT", "road", 1100),
 ]
 VIEW = """
-name: events
-table: events
-entities: [{name: event, key: event_id}, {name: country, type: foreign, key: country}]
+name: parcels
+table: parcels
+entities: [{name: parcel, key: parcel_id}, {name: country, type: foreign, key: country}]
 dimensions:
-  - {name: event_id, type: string, expr: event_id}
-  - {name: kind, type: string, expr: event_type}
+  - {name: parcel_id, type: string, expr: parcel_id}
+  - {name: kind, type: string, expr: step}
   - {name: country, type: string, expr: country}
-  - {name: platform, type: string, expr: platform}
-  - {name: at, type: datetime, expr: created_at}
-  - {name: euros, type: number, expr: revenue_cents / 100.0D}
-  - {name: paid, type: boolean, expr: "{{euros}} > 0"}
-  - {name: big, type: boolean, expr: "revenue_cents > {{variables.limit}}"}
+  - {name: carrier, type: string, expr: carrier}
+  - {name: at, type: datetime, expr: handled}
+  - {name: euros, type: number, expr: fee_cents / 100.0D}
+  - {name: charged, type: boolean, expr: "{{euros}} > 0"}
+  - {name: big, type: boolean, expr: "fee_cents > {{variables.limit}}"}
   - {name: country_name, type: string, expr: "{{country.title}}"}
-  - {name: loop_a, type: string, expr: "{{events.loop_b}}"}
-  - {name: loop_b, type: string, expr: "{{events.loop_a}}"}
+  - {name: loop_a, type: string, expr: "{{parcels.loop_b}}"}
+  - {name: loop_b, type: string, expr: "{{parcels.loop_a}}"}
 measures:
   - {name: n, type: count}
-  - {name: users, type: count_distinct, expr: user_id}
-  - {name: revenue, type: sum, expr: "{{events.euros}}"}
-  - {name: purchases, type: count, filters: [{expr: "event_type = 'purchase'"}]}
-  - {name: none, type: sum, expr: revenue_cents, filters: [{expr: "event_type = 'none'"}]}
-  - {name: per_user, type: number, expr: "{{events.revenue}} / {{events.users}}"}
-  - {name: rolling_users, type: count_distinct, expr: user_id, rolling_window: {trailing: unbounded}}
+  - {name: senders, type: count_distinct, expr: sender}
+  - {name: revenue, type: sum, expr: "{{parcels.euros}}"}
+  - {name: paid, type: count, filters: [{expr: "step = 'fee'"}]}
+  - {name: none, type: sum, expr: fee_cents, filters: [{expr: "step = 'none'"}]}
+  - {name: per_sender, type: number, expr: "{{parcels.revenue}} / {{parcels.senders}}"}
+  - {name: rolling_senders, type: count_distinct, expr: sender, rolling_window: {trailing: unbounded}}
 segments:
-  - {name: web_or_ios, expr: "platform = 'web' OR platform = 'ios'"}
+  - {name: road_or_rail, expr: "carrier = 'road' OR carrier = 'rail'"}
 """
 COUNTRY = """
 name: countries
@@ -52,20 +52,20 @@ entities: [{name: country, key: code}]
 dimensions:
   - {name: code, type: string, expr: code}
   - {name: title, type: string, expr: title}
-  - {name: events, type: number, expr: events.n, sub_query: true}
+  - {name: parcels, type: number, expr: parcels.n, sub_query: true}
 measures: [{name: n, type: count}, {name: area, type: sum, expr: area}]
 """
 MOTIF = "name: double\nparams: {measure: {type: measure}, times: {type: number, default: 2}}\nadds: [{name: doubled, expr: '{{ measure }} * {{ times }}'}, {name: more, expr: 'doubled + 1'}]"
-SAVED = "name: look\nsteps:\n  - {name: good, query: {measures: [events.n]}}\n  - {name: bad, query: {measures: [events.zz]}}\n  - {name: also, query: {dimensions: [events.platform], measures: [events.n]}}"
+SAVED = "name: look\nsteps:\n  - {name: good, query: {measures: [parcels.n]}}\n  - {name: bad, query: {measures: [parcels.zz]}}\n  - {name: also, query: {dimensions: [parcels.carrier], measures: [parcels.n]}}"
 
 
 @pytest.fixture(scope="module")
 def engine(spark):
-    rows = [(*r[:3], datetime.fromisoformat(r[3]), *r[4:]) for r in EVENTS]
-    events = spark.createDataFrame(rows, "event_id string, event_type string, user_id string, created_at timestamp_ntz, country string, platform string, revenue_cents int")
-    countries = spark.createDataFrame([("US", "States", 9), ("UK", "Kingdom", 2), ("DE", "Germany", 3), ("FR", "France", 5)], "code string, title string, area int")
-    layer = loader.layer([VIEW, COUNTRY], ["name: t\nviews: [events]\ndefault_filters: [{field: events.platform, op: eq, value: ios}]"], [MOTIF], [SAVED], variables={"limit": 3000})
-    return SemanticEngine(layer, spark, {"events": events, "countries": countries}, today=date(2025, 1, 18))
+    rows = [(*r[:3], datetime.fromisoformat(r[3]), *r[4:]) for r in PARCELS]
+    parcels = spark.createDataFrame(rows, "parcel_id string, step string, sender string, handled timestamp_ntz, country string, carrier string, fee_cents int")
+    countries = spark.createDataFrame([("NO", "Norway", 7), ("PT", "Portugal", 2), ("AT", "Austria", 3), ("SE", "Sweden", 5)], "code string, title string, area int")
+    layer = loader.layer([VIEW, COUNTRY], ["name: t\nviews: [parcels]\ndefault_filters: [{field: parcels.carrier, op: eq, value: rail}]"], [MOTIF], [SAVED], variables={"limit": 3000})
+    return SemanticEngine(layer, spark, {"parcels": parcels, "countries": countries}, today=date(2024, 6, 6))
 
 
 def rows(engine, **q):
@@ -73,49 +73,49 @@ def rows(engine, **q):
 
 
 def test_totals(engine):
-    assert rows(engine, measures=["events.n", "events.purchases", "events.none"]) == [(12, 4, 0)]
+    assert rows(engine, measures=["parcels.n", "parcels.paid", "parcels.none"]) == [(10, 6, 0)]
 
 
-def test_by_platform(engine):
-    got = rows(engine, dimensions=["events.platform"], measures=["events.n", "events.revenue", "events.users", "events.purchases"])
-    assert [(p, n, round(r, 2), u, b) for p, n, r, u, b in got] == [("android", 2, 0.0, 1, 0), ("ios", 3, 25.0, 1, 1), ("web", 7, 164.98, 3, 3)]
+def test_by_carrier(engine):
+    got = rows(engine, dimensions=["parcels.carrier"], measures=["parcels.n", "parcels.revenue", "parcels.senders", "parcels.paid"])
+    assert [(p, n, round(r, 2), u, b) for p, n, r, u, b in got] == [("air", 3, 98.0, 3, 2), ("rail", 3, 30.0, 2, 1), ("road", 4, 28.0, 2, 3)]
 
 
 def test_motifs_by_day(engine):
-    day = [{"dimension": "events.at", "granularity": "day"}]
-    growth = engine.query({"measures": ["events.revenue"], "time_dimensions": day, "motif": "dod", "order": [{"id": "events.at"}]}).collect()
-    assert [r.growth_rate and round(r.growth_rate, 6) for r in growth] == [None, 0.333378, -0.849985]
-    trend = engine.query({"measures": ["events.revenue"], "time_dimensions": day, "motif": "trend"}).first()
-    assert (round(trend.slope, 3), round(trend.intercept, 6)) == (-29.995, 123.316667)
-    total = engine.query({"measures": ["events.revenue"], "time_dimensions": day, "motif": "cumulative", "order": [{"id": "events.at.day"}]}).collect()
-    assert [round(r.cumulative_value, 2) for r in total] == [74.99, 174.98, 189.98]
+    day = [{"dimension": "parcels.at", "granularity": "day"}]
+    growth = engine.query({"measures": ["parcels.revenue"], "time_dimensions": day, "motif": "dod", "order": [{"id": "parcels.at"}]}).collect()
+    assert [r.growth_rate and round(r.growth_rate, 6) for r in growth] == [None, 0.788235, -0.506579]
+    trend = engine.query({"measures": ["parcels.revenue"], "time_dimensions": day, "motif": "trend"}).first()
+    assert (round(trend.slope, 3), round(trend.intercept, 6)) == (-2.5, 57.0)
+    total = engine.query({"measures": ["parcels.revenue"], "time_dimensions": day, "motif": "cumulative", "order": [{"id": "parcels.at.day"}]}).collect()
+    assert [round(r.cumulative_value, 2) for r in total] == [42.5, 118.5, 156.0]
 
 
-def test_motifs_by_platform(engine):
-    base = {"dimensions": ["events.platform"], "measures": ["events.revenue"]}
+def test_motifs_by_carrier(engine):
+    base = {"dimensions": ["parcels.carrier"], "measures": ["parcels.revenue"]}
     share = {r[0]: round(r.share, 6) for r in engine.query(base | {"motif": "contribution"}).collect()}
-    assert share == {"web": 0.868407, "ios": 0.131593, "android": 0.0}
+    assert share == {"air": 0.628205, "rail": 0.192308, "road": 0.179487}
     z = {r[0]: (round(r.z_score, 6), r.is_anomaly) for r in engine.query(base | {"motif": "anomaly"}).collect()}
-    assert z == {"web": (1.400169, 0), "ios": (-0.52791, 0), "android": (-0.872259, 0)}
-    assert {r[0]: r.rank for r in engine.query(base | {"motif": "rank"}).collect()} == {"web": 1, "ios": 2, "android": 3}
-    assert {r[0]: (r.doubled, r.more) for r in engine.query({"dimensions": ["events.platform"], "measures": ["events.n"], "motif": "double"}).collect()} == {"web": (14, 15), "ios": (6, 7), "android": (4, 5)}
-    assert engine.query({"measures": ["events.n"], "motif": "double", "motif_params": {"times": 5}}).first().doubled == 60
+    assert z == {"air": (1.413768, 0), "rail": (-0.67615, 0), "road": (-0.737618, 0)}
+    assert {r[0]: r.rank for r in engine.query(base | {"motif": "rank"}).collect()} == {"air": 1, "rail": 2, "road": 3}
+    assert {r[0]: (r.doubled, r.more) for r in engine.query({"dimensions": ["parcels.carrier"], "measures": ["parcels.n"], "motif": "double"}).collect()} == {"air": (6, 7), "rail": (6, 7), "road": (8, 9)}
+    assert engine.query({"measures": ["parcels.n"], "motif": "double", "motif_params": {"times": 5}}).first().doubled == 50
 
 
 @pytest.mark.parametrize(
     "q",
     [
-        {"dimensions": ["events.platform"], "measures": ["events.n"], "motif": "trend"},
-        {"measures": ["events.n"], "motif": "nothing"},
-        {"dimensions": ["events.platform"], "measures": ["events.n", "events.revenue"], "motif": "rank"},
-        {"dimensions": ["events.platform"], "motif": "rank"},
-        {"measures": ["events.n"], "motif": "double", "motif_params": {"times": "1; DROP"}},
-        {"measures": ["events.n"], "motif": "rank", "motif_params": {"measure": "events.revenue"}},
-        {"measures": ["events.zz"]}, {"dimensions": ["zz.a"]}, {"dimensions": ["a.b.c"]}, {}, {"measures": ["events.n"], "segments": ["events.zz"]},
-        {"measures": ["events.n"], "order": [{"id": "events.users"}]},
-        {"measures": ["events.n"], "filters": [{"member": "events.euros", "operator": "gt", "values": ["many"]}]},
-        {"measures": ["events.n"], "filters": [{"member": "events.at", "operator": "gt", "values": ["soon"]}]},
-        {"measures": ["events.n"], "time_dimensions": [{"dimension": "events.at", "granularity": "decade"}]},
+        {"dimensions": ["parcels.carrier"], "measures": ["parcels.n"], "motif": "trend"},
+        {"measures": ["parcels.n"], "motif": "nothing"},
+        {"dimensions": ["parcels.carrier"], "measures": ["parcels.n", "parcels.revenue"], "motif": "rank"},
+        {"dimensions": ["parcels.carrier"], "motif": "rank"},
+        {"measures": ["parcels.n"], "motif": "double", "motif_params": {"times": "1; DROP"}},
+        {"measures": ["parcels.n"], "motif": "rank", "motif_params": {"measure": "parcels.revenue"}},
+        {"measures": ["parcels.zz"]}, {"dimensions": ["zz.a"]}, {"dimensions": ["a.b.c"]}, {}, {"measures": ["parcels.n"], "segments": ["parcels.zz"]},
+        {"measures": ["parcels.n"], "order": [{"id": "parcels.senders"}]},
+        {"measures": ["parcels.n"], "filters": [{"member": "parcels.euros", "operator": "gt", "values": ["many"]}]},
+        {"measures": ["parcels.n"], "filters": [{"member": "parcels.at", "operator": "gt", "values": ["soon"]}]},
+        {"measures": ["parcels.n"], "time_dimensions": [{"dimension": "parcels.at", "granularity": "decade"}]},
     ],
 )
 def test_bad_requests(engine, q):
@@ -126,11 +126,11 @@ def test_bad_requests(engine, q):
 @pytest.mark.parametrize(
     "q",
     [
-        {"dimensions": ["events.loop_a"]},
-        {"measures": ["events.rolling_users"], "time_dimensions": [{"dimension": "events.at", "granularity": "day"}]},
-        {"measures": ["events.per_user"], "ungrouped": True},
-        {"measures": ["events.n", "countries.n"], "ungrouped": True},
-        {"dimensions": ["events.platform"], "measures": ["events.n"], "filters": [{"or": [{"member": "events.n", "operator": "gt", "values": ["1"]}, {"member": "events.kind", "operator": "equals", "values": ["click"]}]}]},
+        {"dimensions": ["parcels.loop_a"]},
+        {"measures": ["parcels.rolling_senders"], "time_dimensions": [{"dimension": "parcels.at", "granularity": "day"}]},
+        {"measures": ["parcels.per_sender"], "ungrouped": True},
+        {"measures": ["parcels.n", "countries.n"], "ungrouped": True},
+        {"dimensions": ["parcels.carrier"], "measures": ["parcels.n"], "filters": [{"or": [{"member": "parcels.n", "operator": "gt", "values": ["1"]}, {"member": "parcels.kind", "operator": "equals", "values": ["move"]}]}]},
     ],
 )
 def test_no_plan(engine, q):
@@ -139,44 +139,44 @@ def test_no_plan(engine, q):
 
 
 def test_expressions(engine):
-    assert rows(engine, dimensions=["events.paid"], measures=["events.n"]) == [(False, 8), (True, 4)]
-    assert rows(engine, dimensions=["events.big"], measures=["events.n"]) == [(False, 10), (True, 2)]
-    assert round(rows(engine, measures=["events.per_user"])[0][0], 4) == round(189.98 / 5, 4)
-    assert rows(engine, measures=["events.n"], segments=["events.web_or_ios"], filters=[{"member": "events.kind", "operator": "equals", "values": ["click"]}]) == [(1,)]
+    assert rows(engine, dimensions=["parcels.charged"], measures=["parcels.n"]) == [(False, 4), (True, 6)]
+    assert rows(engine, dimensions=["parcels.big"], measures=["parcels.n"]) == [(False, 9), (True, 1)]
+    assert round(rows(engine, measures=["parcels.per_sender"])[0][0], 4) == round(156 / 5, 4)
+    assert rows(engine, measures=["parcels.n"], segments=["parcels.road_or_rail"], filters=[{"member": "parcels.kind", "operator": "equals", "values": ["move"]}]) == [(2,)]
 
 
 def test_joins_keep_rows(engine):
-    names = rows(engine, dimensions=["events.country_name"], measures=["events.n"])
-    assert names == [("Germany", 1), ("Kingdom", 3), ("States", 5), (None, 3)]
-    assert rows(engine, dimensions=["countries.title"], measures=["events.n"]) == names
-    assert rows(engine, dimensions=["countries.code", "countries.events"]) == [("DE", 1), ("FR", 0), ("UK", 3), ("US", 5)]
+    names = rows(engine, dimensions=["parcels.country_name"], measures=["parcels.n"])
+    assert names == [("Austria", 2), ("Norway", 3), ("Portugal", 3), (None, 2)]
+    assert rows(engine, dimensions=["countries.title"], measures=["parcels.n"]) == names
+    assert rows(engine, dimensions=["countries.code", "countries.parcels"]) == [("AT", 2), ("NO", 3), ("PT", 3), ("SE", 0)]
 
 
 def test_fan_out(engine):
-    # Areas by platform: a country counts once for each platform it has events on.
-    assert rows(engine, dimensions=["events.platform"], measures=["countries.area"]) == [("ios", 2), ("web", 12), (None, 5)]
-    assert rows(engine, measures=["countries.area", "events.n"]) == [(19, 12)]
-    both = rows(engine, dimensions=["countries.title"], measures=["countries.area", "events.n"])
-    assert both == [("France", 5, None), ("Germany", 3, 1), ("Kingdom", 2, 3), ("States", 9, 5), (None, None, 3)]
+    # Areas by carrier: a country counts once for each carrier it has parcels on.
+    assert rows(engine, dimensions=["parcels.carrier"], measures=["countries.area"]) == [("air", 10), ("rail", 5), ("road", 9), (None, 5)]
+    assert rows(engine, measures=["countries.area", "parcels.n"]) == [(17, 10)]
+    both = rows(engine, dimensions=["countries.title"], measures=["countries.area", "parcels.n"])
+    assert both == [("Austria", 3, 2), ("Norway", 7, 3), ("Portugal", 2, 3), ("Sweden", 5, None), (None, None, 2)]
 
 
 def test_relative_dates(engine):
-    q = {"measures": ["events.n"], "time_dimensions": [{"dimension": "events.at", "granularity": "day", "date_range": ["last 2 days"]}]}
-    assert [r[1] for r in sorted(engine.query(q).collect())] == [4]  # to the start of the last day
+    q = {"measures": ["parcels.n"], "time_dimensions": [{"dimension": "parcels.at", "granularity": "day", "date_range": ["last 2 days"]}]}
+    assert [r[1] for r in sorted(engine.query(q).collect())] == [3]  # to the start of the last day
     with pytest.raises(QueryError):
-        engine.query({"measures": ["events.n"], "time_dimensions": [{"dimension": "events.at", "date_range": ["soon"]}]})
+        engine.query({"measures": ["parcels.n"], "time_dimensions": [{"dimension": "parcels.at", "date_range": ["soon"]}]})
 
 
 def test_columns_and_plan(engine):
-    q = {"dimensions": ["events.platform"], "measures": ["events.n"], "time_dimensions": [{"dimension": "events.at", "granularity": "day"}], "motif": "cumulative"}
+    q = {"dimensions": ["parcels.carrier"], "measures": ["parcels.n"], "time_dimensions": [{"dimension": "parcels.at", "granularity": "day"}], "motif": "cumulative"}
     assert [(c.member, c.alias, c.kind) for c in engine.columns(q)] == [
-        ("events.platform", "events__platform", "dimension"), ("events.at.day", "events__at__day", "time_dimension"),
-        ("events.n", "events__n", "measure"), ("__motif.cumulative_value", "cumulative_value", "motif"),
+        ("parcels.carrier", "parcels__carrier", "dimension"), ("parcels.at.day", "parcels__at__day", "time_dimension"),
+        ("parcels.n", "parcels__n", "measure"), ("__motif.cumulative_value", "cumulative_value", "motif"),
     ]
     assert engine.query(q).columns == [c.alias for c in engine.columns(q)]
     assert "HashAggregate" in engine.explain(q)
-    assert engine.views_used(q) == ["events"]
-    assert rows_of(engine.with_topic_filters({"measures": ["events.n"]}, "t")) == [(3,)]
+    assert engine.views_used(q) == ["parcels"]
+    assert rows_of(engine.with_topic_filters({"measures": ["parcels.n"]}, "t")) == [(3,)]
 
 
 def rows_of(df):
@@ -193,25 +193,25 @@ def test_pruning(spark):
 
 
 def test_envelope(engine):
-    good = envelope.run(engine, {"dimensions": ["events.platform"], "measures": ["events.revenue"], "order": [{"id": "events.platform"}]})
-    assert good["status"] == "success" and good["row_count"] == 3 and good["data"][1] == {"events__platform": "ios", "events__revenue": 25.0}
+    good = envelope.run(engine, {"dimensions": ["parcels.carrier"], "measures": ["parcels.revenue"], "order": [{"id": "parcels.carrier"}]})
+    assert good["status"] == "success" and good["row_count"] == 3 and good["data"][1] == {"parcels__carrier": "rail", "parcels__revenue": 30.0}
     json.dumps(good)
-    assert envelope.run(engine, {"dimensions": ["events.event_id"]}, rows=5)["row_count"] == 12
+    assert envelope.run(engine, {"dimensions": ["parcels.parcel_id"]}, rows=5)["row_count"] == 10
     assert envelope.run(engine, "{")["status"] == "parse_error"
-    assert envelope.run(engine, {"measures": ["events.zz"]})["status"] == "compile_error"
+    assert envelope.run(engine, {"measures": ["parcels.zz"]})["status"] == "compile_error"
     steps = envelope.saved(engine, "look")["steps"]
     assert [s["result"]["status"] for s in steps] == ["success", "compile_error", "success"]
     assert envelope.saved(engine, "zz")["status"] == "parse_error"
 
 
 def test_profile(engine):
-    got = profile.profile(engine, "events.country")
-    assert (got["count"], got["null_count"], got["cardinality"], got["values_complete"]) == (12, 1, 4, True)
-    assert got["values"][0] == {"value": "US", "frequency": 5}
-    number = profile.profile(engine, "events.euros")
-    assert (number["min"], number["max"], round(number["mean"], 4)) == (0.0, 99.99, 15.8317)
+    got = profile.profile(engine, "parcels.country")
+    assert (got["count"], got["null_count"], got["cardinality"], got["values_complete"]) == (10, 1, 4, True)
+    assert got["values"][0] == {"value": "NO", "frequency": 3}
+    number = profile.profile(engine, "parcels.euros")
+    assert (number["min"], number["max"], round(number["mean"], 4)) == (0.0, 76.0, 15.6)
     with pytest.raises(QueryError):
-        profile.profile(engine, "countries.events")
+        profile.profile(engine, "countries.parcels")
     assert [p["dimension"] for p in profile.profile(engine, "countries")] == ["countries.code", "countries.title"]
 
 
@@ -221,7 +221,7 @@ def test_catalog(engine, spark):
     assert catalog.table(spark, engine.layer).where("kind = 'motif'").count() == 13
     assert len(catalog.inspect_motifs(engine.layer)) == 13 and all(m["outputs"] for m in catalog.inspect_motifs(engine.layer))
     assert catalog.inspect_queries(engine.layer)[0]["steps"][0]["name"] == "good"
-    assert catalog.inspect_view(engine.view("events"))["segments"][0]["name"] == "web_or_ios"
+    assert catalog.inspect_view(engine.view("parcels"))["segments"][0]["name"] == "road_or_rail"
 
 
 def test_files_bootstrap_and_cli(spark, tmp_path, capsys):
@@ -362,7 +362,7 @@ def test_layer_errors(spark):
 def test_api(engine, spark):
     from quillon import api
 
-    made = api.compile(spark, [VIEW, COUNTRY], {"measures": ["events.n"]}, engine.tables)
-    assert made["frame"].first()[0] == 12 and "HashAggregate" in made["plan"] and made["columns"][0]["alias"] == "events__n"
+    made = api.compile(spark, [VIEW, COUNTRY], {"measures": ["parcels.n"]}, engine.tables)
+    assert made["frame"].first()[0] == 10 and "HashAggregate" in made["plan"] and made["columns"][0]["alias"] == "parcels__n"
     assert api.validate([VIEW, COUNTRY]) == [] and api.validate(["name: v"]) and api.validate(["a: ["])
     assert len(api.catalog_list([COUNTRY])) == 7 + 12
