@@ -11,81 +11,98 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from quillon.errors import QueryError
 from quillon.model import Motif, MotifParam
+from quillon.operators import ordered
 from quillon.plans.refs import backticked, names, quoted, substitute
 from quillon.request import alias
 
 #: Alias of the aggregated rows inside motif expressions.
 BASE = "b"
+#: Granularities of which a calendar has few.
+PERIODS = ("day", "week", "month", "quarter", "year")
 
 
 @dataclass(frozen=True)
 class Bound:
-    """Columns of the result that a motif works on; `ties` make an order by time a total one."""
+    """Columns of the result that a motif works on; `ties` make an order by time a total one.
+
+    periods: the time column holds days or longer; alone with it, rows are as few as the days of a
+    calendar and one window may hold them all. Otherwise rows may be as many as the data has, and no task sees all.
+    """
 
     measure: str
     time: str | None
     ties: tuple[str, ...]
     values: dict[str, Any]
+    periods: bool = False
 
-    def by_time(self) -> WindowSpec:
-        return Window.orderBy(F.col(self.time).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in self.ties])
+    @property
+    def few(self) -> bool:
+        return self.periods and not self.ties
 
+    def by_time(self) -> WindowSpec:
+        return Window.orderBy(F.col(self.time).asc_nulls_first())
 
-def _everything() -> WindowSpec:
-    return Window.partitionBy()
+    def framed(self, df: DataFrame, before: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+        """`df` with windows that reach `before` rows back in the order of time."""
+        if self.few:
+            return df.withColumns(columns(self.by_time()))
+        rows = ordered.Chunks.of(ordered.numbered(df, self.time, self.ties, self.periods), before).rows
+        return ordered.Chunks.finished(rows.withColumns(columns(ordered.Chunks.window())))
 
 
-def _change(b: Bound) -> list[tuple[str, Column]]:
+def _change(df: DataFrame, b: Bound) -> DataFrame:
+    df = b.framed(df, 1, lambda w: {"previous_value": F.lag(b.measure, 1).over(w)})
     before, now = F.col("previous_value"), F.col(b.measure)
-    rate = F.when(before.isNotNull() & (before != 0), (now - before).cast("double") / F.abs(before).cast("double"))
-    return [("previous_value", F.lag(b.measure, 1).over(b.by_time())), ("growth_rate", rate)]
+    return df.withColumn("growth_rate", F.when(before.isNotNull() & (before != 0), (now - before).cast("double") / F.abs(before).cast("double")))
 
 
-def _anomaly(b: Bound) -> list[tuple[str, Column]]:
+def _anomaly(df: DataFrame, b: Bound) -> DataFrame:
     x, mean, sd, z = F.col(b.measure), F.col("mean_value"), F.col("stddev_value"), F.col("z_score")
-    return [
-        ("mean_value", F.avg(x.cast("double")).over(_everything())),
-        ("stddev_value", F.stddev_pop(x.cast("double")).over(_everything())),
-        ("z_score", F.when(sd > 0, (x - mean) / sd).otherwise(F.lit(0.0))),
-        ("is_anomaly", F.when((sd > 0) & (F.abs(z) > float(b.values["threshold"])), 1).otherwise(0)),
-    ]
+    df = ordered.with_totals(df, {"mean_value": F.avg(x.cast("double")), "stddev_value": F.stddev_pop(x.cast("double"))})
+    df = df.withColumn("z_score", F.when(sd > 0, (x - mean) / sd).otherwise(F.lit(0.0)))
+    return df.withColumn("is_anomaly", F.when((sd > 0) & (F.abs(z) > float(b.values["threshold"])), 1).otherwise(0))
 
 
-def _contribution(b: Bound) -> list[tuple[str, Column]]:
-    return [("total", F.sum(b.measure).over(_everything())), ("share", F.col(b.measure).cast("double") / F.nullif(F.col("total").cast("double"), F.lit(0.0)))]
+def _contribution(df: DataFrame, b: Bound) -> DataFrame:
+    df = ordered.with_totals(df, {"total": F.sum(b.measure)})
+    return df.withColumn("share", F.col(b.measure).cast("double") / F.nullif(F.col("total").cast("double"), F.lit(0.0)))
 
 
-def _trend(b: Bound) -> list[tuple[str, Column]]:
+def _trend(df: DataFrame, b: Bound) -> DataFrame:
+    if b.few:
+        df = df.withColumn("row_n", F.row_number().over(b.by_time()).cast("long"))
+    else:
+        df = ordered.numbered(df, b.time, b.ties, b.periods).withColumn("row_n", F.col(ordered.NUMBER).cast("long")).drop(ordered.NUMBER)
     x, n = F.col(b.measure).cast("double"), F.col("row_n").cast("double")
-    return [
-        ("row_n", F.row_number().over(b.by_time()).cast("long")),
-        ("slope", F.regr_slope(x, n).over(_everything())),
-        ("intercept", F.regr_intercept(x, n).over(_everything())),
-        ("trend_value", F.col("intercept") + F.col("slope") * n),
-    ]
+    df = ordered.with_totals(df, {"slope": F.regr_slope(x, n), "intercept": F.regr_intercept(x, n)})
+    return df.withColumn("trend_value", F.col("intercept") + F.col("slope") * n)
 
 
-def _moving(b: Bound) -> list[tuple[str, Column]]:
-    return [("moving_avg", F.avg(F.col(b.measure).cast("double")).over(b.by_time().rowsBetween(-int(b.values["window"]), 0)))]
+def _moving(df: DataFrame, b: Bound) -> DataFrame:
+    reach = int(b.values["window"])
+    return b.framed(df, reach, lambda w: {"moving_avg": F.avg(F.col(b.measure).cast("double")).over(w.rowsBetween(-reach, 0))})
 
 
-def _rank(b: Bound) -> list[tuple[str, Column]]:
-    return [("rank", F.rank().over(Window.orderBy(F.col(b.measure).desc())).cast("long"))]
+def _rank(df: DataFrame, b: Bound) -> DataFrame:
+    return ordered.ranked(df, b.measure, "rank")
 
 
-def _percent(b: Bound) -> list[tuple[str, Column]]:
-    total = F.sum(b.measure).over(_everything()).cast("double")
-    return [("percent_of_total", F.lit(100.0) * F.col(b.measure).cast("double") / F.nullif(total, F.lit(0.0)))]
+def _percent(df: DataFrame, b: Bound) -> DataFrame:
+    df = ordered.with_totals(df, {"__total": F.sum(b.measure)})
+    total = F.nullif(F.col("__total").cast("double"), F.lit(0.0))
+    return df.withColumn("percent_of_total", F.lit(100.0) * F.col(b.measure).cast("double") / total).drop("__total")
 
 
-def _cumulative(b: Bound) -> list[tuple[str, Column]]:
-    return [("cumulative_value", F.sum(b.measure).over(b.by_time().rowsBetween(Window.unboundedPreceding, 0)))]
+def _cumulative(df: DataFrame, b: Bound) -> DataFrame:
+    if b.few:
+        return df.withColumn("cumulative_value", F.sum(b.measure).over(b.by_time().rowsBetween(Window.unboundedPreceding, 0)))
+    return ordered.running_sum(ordered.numbered(df, b.time, b.ties, b.periods), b.measure, "cumulative_value")
 
 
 @dataclass(frozen=True)
 class Builtin:
     description: str
-    columns: Callable[[Bound], list[tuple[str, Column]]]
+    added: Callable[[DataFrame, Bound], DataFrame]
     outputs: tuple[str, ...]
     needs_time: bool
     defaults: tuple[tuple[str, float], ...] = ()
@@ -185,7 +202,7 @@ def outputs(name: str, custom: Motif | None) -> tuple[str, ...]:
 def apply(df: DataFrame, name: str, custom: Motif | None, given: dict[str, Any], cols: Columns) -> DataFrame:
     """The result with the motif's columns, which may use those before them.
 
-    Windows here run over aggregated rows, a handful beside the tables they come from.
+    Built-in motifs hold for results of any size; windows of custom ones run as they are written.
     """
     if not cols.measures:
         raise QueryError(f"motif '{name}' needs a measure in the query")
@@ -196,9 +213,8 @@ def apply(df: DataFrame, name: str, custom: Motif | None, given: dict[str, Any],
         values = bind(builtin.params(), given, cols)
         time = alias(values["time"]) if builtin.needs_time else None
         ties = tuple(a for a in map(alias, (*cols.dimensions, *cols.times)) if a != time)
-        for output, column in builtin.columns(Bound(alias(values["measure"]), time, ties, values)):
-            df = df.withColumn(output, column)
-        return df
+        periods = builtin.needs_time and values["time"].split(".")[2:] in [[g] for g in PERIODS]
+        return builtin.added(df, Bound(alias(values["measure"]), time, ties, values, periods))
     values = bind(custom.params, given, cols)
 
     def column(member: str) -> str:

@@ -346,6 +346,50 @@ def test_every_view_counts_for_the_datasource(spark):
             made.query({"measures": ["a.n"]} | more)
 
 
+def test_windows_in_chunks(spark, monkeypatch):
+    """Numbers, frames, running sums and ranks by chunk against plain Python, with nulls and ties."""
+    import random
+
+    from quillon.operators import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK", 7)
+    monkeypatch.setattr(ordered, "SPANS", 9)
+    rng = random.Random(2)
+    base = datetime(2024, 1, 1)
+    data = [(None if rng.random() < 0.1 else base.replace(month=rng.randint(1, 12)), rng.choice(["a", "b", "é", None]), i, rng.choice([None, 1, 2, 2, 50, -3])) for i in range(100)]
+    df = spark.createDataFrame(data, "t timestamp_ntz, k string, i int, m long")
+    first = lambda x: (x is not None, x or "")
+    want = sorted(data, key=lambda r: ((r[0] is not None, r[0] or base), first(r[1]), r[2]))
+    for periods in (True, False):
+        rows = ordered.numbered(df, "t", ("k", "i"), periods)
+        assert [r.i for r in sorted(rows.collect(), key=lambda r: r[ordered.NUMBER])] == [r[2] for r in want]
+        for before, after in ((0, 0), (3, 2), (20, 0), (0, 9)):
+            made = ordered.Chunks.of(rows, before, after).rows
+            frame = ordered.Chunks.window().rowsBetween(-before, after)
+            got = {r.i: r.c for r in ordered.Chunks.finished(made.withColumn("c", ordered.F.collect_list("i").over(frame))).collect()}
+            ids = [r[2] for r in want]
+            assert got == {x: ids[max(0, n - before) : n + after + 1] for n, x in enumerate(ids)}
+        total, sums = None, {}
+        for r in want:
+            total = r[3] if total is None else total + (r[3] or 0)
+            sums[r[2]] = total
+        assert {r.i: r.s for r in ordered.running_sum(rows, "m", "s").collect()} == sums
+    for kind in ("long", "double"):
+        got = ordered.ranked(df.withColumn("m", ordered.F.col("m").cast(kind)), "m", "r").collect()
+        assert len(got) == 100 and all(r.r == 1 + sum(x[3] is not None and (r.m is None or x[3] > r.m) for x in data) for r in got)
+
+
+def test_no_single_task_over_groups(spark):
+    """Motifs over many groups deal their rows; only cells and totals meet in one task."""
+    made = queries.engine(spark, "/root/testdata/sf0.001")
+    q = {"measures": ["orders.count"], "dimensions": ["orders.customer_id"], "time_dimensions": [{"dimension": "orders.ordered_at", "granularity": "day"}]}
+    for motif in ("trend", "dod", "moving_average", "cumulative", "rank", "contribution", "anomaly"):
+        plan = made.explain(q | {"motif": motif}, "simple")
+        for line in plan.splitlines():
+            if "Window [" in line:
+                assert "customer_id" not in line.split("], [")[-1] or "__chunk" in line or "__cell" in line, (motif, line)
+
+
 def test_ping(spark):
     assert ping(spark, connect({"type": "spark"}))
 
