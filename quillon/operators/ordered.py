@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, t
 
 #: Rows of a chunk, and cells that a span of times or of another column is cut into.
 CHUNK, SPANS, PARTS = 100_000, 1024, 64
-NUMBER, CELL, OWN, AT = "__number", "__cell", "__own", "__chunk"
+#: HOME: 0 for rows of the chunk itself, above for copies from chunks before, below for copies from chunks after.
+NUMBER, CELL, HOME, AT = "__number", "__cell", "__home", "__chunk"
 
 
 def _seconds(time: Column) -> Column:
@@ -75,8 +76,8 @@ class Chunks:
         homes = [F.lit(0)]
         homes += [F.when(place >= i * CHUNK - before, F.lit(i)) for i in range(1, on + 1)]
         homes += [F.when(place < after - (i - 1) * CHUNK, F.lit(-i)) for i in range(1, back + 1)]
-        rows = numbered_rows.withColumn("__home", F.explode(F.filter(F.array(*homes), lambda x: x.isNotNull())))
-        return Chunks(rows.withColumn(AT, chunk + F.col("__home")).withColumn(OWN, F.col("__home") == 0).drop("__home"))
+        rows = numbered_rows.withColumn(HOME, F.explode(F.filter(F.array(*homes), lambda x: x.isNotNull())))
+        return Chunks(rows.withColumn(AT, chunk + F.col(HOME)))
 
     @staticmethod
     def window() -> WindowSpec:
@@ -84,7 +85,7 @@ class Chunks:
 
     @staticmethod
     def finished(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col(OWN)).drop(OWN, AT, NUMBER)
+        return rows.where(F.col(HOME) == 0).drop(HOME, AT, NUMBER)
 
 
 def running_sum(numbered_rows: DataFrame, column: str, name: str) -> DataFrame:

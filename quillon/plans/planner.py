@@ -492,7 +492,7 @@ class _Context:
                 call = {"sum": "SUM", "count": "COUNT", "min": "MIN", "max": "MAX"}[measure.type]
                 columns.append(F.expr(f"{call}({x})").alias(f"{alias(member)}__value"))
             else:
-                rolling.rolled(measure, {}, None)
+                rolling.checked(measure)
         return df.groupBy(*[refs.quoted(d) for d in self.dims]).agg(*columns)
 
     def grouped(self, asked: list[str], group_filters: list[Filter]) -> DataFrame:
@@ -508,10 +508,9 @@ class _Context:
             df = df.groupBy(*[refs.quoted(d) for d in self.dims]).agg(*[F.max(refs.quoted(c)).alias(c) for c in every])
         if rolled := [m for m in asked if p.measure(m)[1].rolling_window is not None]:
             order = self._order()
-            for member in rolled:
-                _, measure = p.measure(member)
-                parts = {k: refs.quoted(f"{alias(member)}__{k}") for k in ("value", "sum", "n")}
-                df = df.withColumn(alias(member), rolling.rolled(measure, parts, rolling.frame(measure, order)))
+            times = {alias(t.member): t.granularity for t in self.q.time_dimensions}
+            measures = {alias(member): p.measure(member)[1] for member in rolled}
+            df = rolling.rolled(df, measures, order, times.get(order[0]) in motifs.PERIODS)
         composed = {alias(m): p.final(m) for m in asked if p.crosses(*p.measure(m))}
         if composed:
             df = df.withColumns(composed)
@@ -521,14 +520,13 @@ class _Context:
                 df = df.where(made)
         return df
 
-    def _order(self) -> list[Column]:
+    def _order(self) -> tuple[str, ...]:
         """Order of rolling windows: the time dimension, then the rest to break ties."""
         times = [alias(t.member) for t in self.q.time_dimensions]
         times += [alias(d) for d in self.q.dimensions if self.p.dimension(d)[1].type in ("date", "datetime")]
         if not times:
             raise PlanError("a rolling measure needs a time dimension in the query")
-        rest = [d for d in self.dims if d != times[0]]
-        return [F.col(refs.quoted(c)).asc_nulls_first() for c in (times[0], *rest)]
+        return (times[0], *[d for d in self.dims if d != times[0]])
 
     # ---- rows ----------------------------------------------------------------------------
 

@@ -242,6 +242,10 @@ for _name, _member, _part, _sql in (
     _value = _sql if "BIGINT" in _sql else f"ROUND({_sql}, 2)"
     _q(f"rolling_{_name}", f"SELECT t AS orders__ordered_at__month, {_value} AS {_member.replace('.', '__')} FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS t, {_part} FROM orders GROUP BY 1)", measures=[_member], time_dimensions=[_t("orders.ordered_at", "month")])
 
+_TWO_DIMS = "WITH x AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS t, o_orderpriority AS p, SUM(o_totalprice) AS s, MAX(o_totalprice) AS h, COUNT(*) AS n FROM orders GROUP BY 1, 2)"
+_q("rolling_two_dimensions", _TWO_DIMS + " SELECT t AS orders__ordered_at__month, p AS orders__order_priority, ROUND(SUM(s) OVER (ORDER BY t, p ROWS UNBOUNDED PRECEDING), 2) AS orders__running_revenue, ROUND(SUM(s) OVER w / SUM(n) OVER w, 2) AS orders__average_3_rows, ROUND(MAX(h) OVER (ORDER BY t, p ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS orders__largest_around, CAST(SUM(n) OVER (ORDER BY t, p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS orders__count_to_come FROM x WINDOW w AS (ORDER BY t, p ROWS 2 PRECEDING)",
+   dimensions=["orders.order_priority"], measures=["orders.running_revenue", "orders.average_3_rows", "orders.largest_around", "orders.count_to_come"], time_dimensions=[_t("orders.ordered_at", "month")])
+
 #: Float columns are compared at so many digits.
 _DIGITS = {"share": 6, "growth_rate": 6, "z_score": 6, "percent_of_total": 6, "reached": 6, "behind_percent": 6, "rate": 6, "orders__urgent_share": 6, "orders__average_total": 4, "orders__median_total": 4, "orders__revenue_per_order": 4, "orders__revenue_per_item": 4}
 

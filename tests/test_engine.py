@@ -379,6 +379,27 @@ def test_windows_in_chunks(spark, monkeypatch):
         assert len(got) == 100 and all(r.r == 1 + sum(x[3] is not None and (r.m is None or x[3] > r.m) for x in data) for r in got)
 
 
+@pytest.mark.parametrize("chunk", [3, 100_000])
+def test_rolling_in_chunks(spark, monkeypatch, chunk):
+    """Every kind of frame over two dimensions, chunk by chunk, as plain windows give it."""
+    from quillon.operators import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK", chunk)
+    made = queries.engine(spark, "/root/testdata/sf0.001")
+    names = ["running_revenue", "revenue_3_rows", "average_3_rows", "urgent_running", "largest_around", "count_to_come"]
+    q = {"dimensions": ["orders.order_priority"], "measures": [f"orders.{n}" for n in names], "time_dimensions": [{"dimension": "orders.ordered_at", "granularity": "year"}]}
+    got = sorted((tuple(r) for r in made.query(q).collect()), key=lambda r: (r[1], r[0]))
+    base = made.query(q | {"measures": ["orders.revenue", "orders.count", "orders.largest"]}).collect()
+    rows = sorted((tuple(r) for r in base), key=lambda r: (r[1], r[0]))
+    s, n, h = ([r[i] for r in rows] for i in (2, 3, 4))
+    for i, r in enumerate(got):
+        assert abs(r[2] - sum(s[: i + 1])) < 0.01 and abs(r[3] - sum(s[max(0, i - 2) : i + 1])) < 0.01
+        assert abs(r[4] - sum(s[max(0, i - 2) : i + 1]) / sum(n[max(0, i - 2) : i + 1])) < 0.01
+        assert r[6] == max(h[max(0, i - 1) : i + 2]) and r[7] == sum(n[i:])
+        urgent = sum(x[2] for x in rows[: i + 1] if x[0] == "1-URGENT")
+        assert abs(r[5] - urgent) < 0.01
+
+
 def test_no_single_task_over_groups(spark):
     """Motifs over many groups deal their rows; only cells and totals meet in one task."""
     made = queries.engine(spark, "/root/testdata/sf0.001")
