@@ -221,7 +221,13 @@ def read_ids(spark, folder: str) -> DataFrame:
     ship_code(spark)
     whole = spark.read.format("binaryFile").load(folder).where("length > 0")
     whole = whole.select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("file"), "content")
-    rows = stored(whole.mapInArrow(_read, "file int, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-rows")
+    # A task reads one file at a time: files count as so large to open that none shares a task.
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        rows = stored(whole.mapInArrow(_read, "file int, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-rows")
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
     # A row for each file: the only ones that one task adds up.
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
     before = sums.select("file", F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
