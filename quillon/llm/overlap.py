@@ -10,7 +10,8 @@ then the fingerprints' pigeonring chains prune, and the exact similarity decides
   keeps the groups that meet small.
 - Of two sets that meet, the chains of wider fingerprints of BITS bits over their distinct shingles must stay within
   the budgets of WITHIN bits. A bit differs with a chance of 0.152 at a similarity of 0.8, so a true pair is
-  beyond WITHIN, six standard deviations off, with a chance of about 1e-8; at a similarity of 0.3 two in a hundred pass.
+  beyond WITHIN with a chance of about 7e-9; of the shortest texts (five shingles against four) 0.188, and 3e-5. At a
+  similarity of 0.3 two in a hundred pass.
 - In a group every set is first compared with a leader, another one in each group, in some turns. Only
   pairs that those links leave in different components are then compared, so a dense group of near
   copies costs no square of its size.
