@@ -13,8 +13,11 @@ then the fingerprints' pigeonring chains prune, and the exact similarity decides
   beyond WITHIN with a chance of about 7e-9; of the shortest texts (five shingles against four) 0.188, and 3e-5. At a
   similarity of 0.3 two in a hundred pass.
 - In a group every set is first compared with a leader, another one in each group, in some turns. Only
-  pairs that those links leave in different components are then compared, so a dense group of near
-  copies costs no square of its size.
+  pairs that those links leave in different components are then compared.
+- Groups of more than BLOCK sets, or SHINGLES shingles, are cut into blocks; every two blocks are a unit. A unit names
+  its candidate pairs only where they take less room than the sets themselves. Otherwise the sets come to
+  the unit, which compares them in place and returns a spanning forest, so no table of pairs grows with the
+  square of a group's size.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from quillon.llm.common import dropped, ship_code, slices, stored
 from quillon.llm.graph import components
-from quillon.llm.simhash import SEED, chains_pass, shingle_hashes, with_components
+from quillon.llm.simhash import SEED, Forest, block_pairs, chains_pass, shingle_hashes, with_components
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
@@ -46,6 +49,10 @@ IDS = 1_000_000
 TURNS = 1
 #: Pairs that are compared in one part, about.
 PAIRS = 1000
+#: Sets, and shingles of all of them, that one unit of a group may hold. Results do not depend on them.
+BLOCK, SHINGLES = 4096, 2_000_000
+#: A named pair takes about as much room as so many shingles.
+PAIR_ROOM = 3
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -93,11 +100,14 @@ def _counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["gram", "n"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(gram, sid, place) of the shingles that a set is looked up by; place is the size of the set and the place in the common order."""
+def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndarray, often: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """(gram, salt, sid, place) of the shingles that a set is looked up by; place is the size of the set and the place in the common order.
+
+    Shingles that the sample holds very often are dealt to several tasks by a salt above 0.
+    """
     done: set[int] = set()
     for batch in slices(batches):
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             sid, grams = _set(text, shingle)
             n = len(grams)
@@ -109,11 +119,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndar
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
                 rank = np.where(frequent[at] == grams, often[at], 0)
-            first = grams[np.lexsort((grams, rank))[:size]]
-            for column, x in zip(out, (first, np.full(size, sid, np.int64), (n << 32) + np.arange(size)), strict=True):
+            order = np.lexsort((grams, rank))[:size]
+            tasks = rank[order] * SAMPLE // block
+            salt = np.where(tasks > 1, 1 + sid % np.maximum(tasks, 1), 0)
+            for column, x in zip(out, (grams[order], salt, np.full(size, sid, np.int64), (n << 32) + np.arange(size)), strict=True):
                 column.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["gram", "sid", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["gram", "salt", "sid", "place"])
 
 
 def _viable(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray) -> np.ndarray:
@@ -160,12 +172,15 @@ def _starts(gram: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of two sets or more, without sets that nothing in the group can be similar to by size and place."""
-    for gram, sid, place in _whole_groups(batches):
-        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])])
-        gram, sid, n, pos = gram[new], sid[new], place[new] >> 32, place[new] & 0xFFFFFFFF
+    """Groups of two sets or more, without sets that nothing in the group can be similar to by size and place.
+
+    Large groups, and those dealt by a salt, pass as they are.
+    """
+    for gram, salt, sid, place in _whole_groups(batches):
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]) | (sid[1:] != sid[:-1])])
+        gram, salt, sid, n, pos = gram[new], salt[new], sid[new], place[new] >> 32, place[new] & 0xFFFFFFFF
         end, use = _ends(gram), np.zeros(len(gram), bool)
-        large = end - _starts(gram) > 64
+        large = (end - _starts(gram) > 64) | (salt > 0)
         use[large] = True
         at, step = np.flatnonzero(~large & (np.arange(len(gram)) + 1 < end)), 1
         while len(at):
@@ -178,32 +193,66 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaders(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, gram): each group's leader of this turn, another one in each group, with those that can be similar to it and are in other components."""
-    for gram, sid, n, pos, *fp, label in _whole_groups(batches):
-        mixed = (gram.view(np.uint64) ^ (sid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * _WORDS[turn % len(_WORDS)]
-        order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), gram))
-        gram, sid, n, pos, label, *fp = (x[order] for x in (gram, sid, n, pos, label, *fp))
-        first = _starts(gram)
+    """(unit, a, b): each unit's leader of this turn, another one in each, with those that can be similar to it and are in other components."""
+    for unit, sid, n, pos, *fp, label in _whole_groups(batches):
+        mixed = (unit.view(np.uint64) ^ (sid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * _WORDS[turn % len(_WORDS)]
+        order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), unit))
+        unit, sid, n, pos, label, *fp = (x[order] for x in (unit, sid, n, pos, label, *fp))
+        first = _starts(unit)
         follow = np.flatnonzero(label != label[first])
         ok = _candidates(n, pos, fp, follow, first[follow])
         if len(ok):
             x, y = sid[ok], sid[first[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(gram[ok])], ["a", "b", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit[ok]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["unit", "a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that can be similar and are not in one component yet."""
-    for gram, sid, n, pos, *fp, label in _whole_groups(batches):
-        end = _ends(gram)
-        at, step = np.flatnonzero(np.arange(len(gram)) + 1 < end), 1
+def _across(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
+    """What of a unit can be similar and is not in one component yet: pairs (unit, a, b), or sets (unit, a, label) where pairs take more room."""
+    for unit, sid, n, pos, *fp, label in _whole_groups(batches):
+        start, end, size = _starts(unit), _ends(unit), np.cumsum(np.concatenate([[0], n]))
+        found, mine, named = np.zeros(len(unit), np.int64), np.zeros(len(unit), bool), []  # found: pairs, at the unit's first row
+        most = (size[end] - size[start]) // room
+        at, step = np.flatnonzero(np.arange(len(unit)) + 1 < end), 1
         while len(at):
             apart = at[label[at] != label[at + step]]
             ok = _candidates(n, pos, fp, apart, apart + step)
             if len(ok):
-                a, b = sid[ok], sid[ok + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(gram[ok])], ["a", "b", "gram"])
+                mine[ok] = mine[ok + step] = True
+                found += np.bincount(start[ok], minlength=len(unit))
+                ok = ok[found[start[ok]] <= most[ok]]
+                named.append((ok, ok + step))
             step += 1
             at = at[at + step < end[at]]
+        dense = found[start] > most
+        if named:
+            x, y = (np.concatenate(i) for i in zip(*named))
+            x, y = x[~dense[x]], y[~dense[x]]
+            pairs = [pa.array(unit[x]), pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y])), pa.nulls(len(x), pa.int64())]
+            yield pa.RecordBatch.from_arrays(pairs, ["unit", "a", "b", "label"])
+        if (whole := np.flatnonzero(dense & mine)).size:
+            sets = [pa.array(unit[whole]), pa.array(sid[whole]), pa.nulls(len(whole), pa.int64()), pa.array(label[whole])]
+            yield pa.RecordBatch.from_arrays(sets, ["unit", "a", "b", "label"])
+
+
+def _spanning(sets: pa.Table) -> pa.Table:
+    """A spanning forest of the links between the components of one unit's sets (sid, label, grams)."""
+    sid, label = sets.column("sid").to_pylist(), sets.column("label").to_pylist()
+    own = [np.frombuffer(raw, np.int64) for raw in sets.column("grams").to_pylist()]
+    n = np.array([len(x) for x in own])
+    number = np.unique(np.concatenate(own), return_inverse=True)[1]
+    rows = np.repeat(np.arange(len(own)), n)
+    order = np.argsort(number, kind="stable")
+    holders, first = rows[order], np.searchsorted(number[order], np.arange(number.max() + 2))
+    ends, forest, out = np.cumsum(n), Forest(), []
+    for i in range(len(own)):
+        mine = number[ends[i] - n[i] : ends[i]]
+        length = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        both = np.bincount(holders[at], minlength=len(own))
+        for j in np.flatnonzero(both[:i] * (NUM + DEN) >= NUM * (n[:i] + n[i])).tolist():
+            if forest.joins(label[i], label[j]):
+                out.append((sid[i], sid[j]))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def _similar(pairs: pa.Table, sets: pa.Table) -> pa.Table:
@@ -217,14 +266,14 @@ def _similar(pairs: pa.Table, sets: pa.Table) -> pa.Table:
 
 
 def _checked(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Those pairs (a, b, gram) whose sets are similar enough.
+    """Those pairs (a, b, unit) whose sets are similar enough.
 
-    Pairs that met in one group go to one part, so a set moves once for many of them; groups
+    Pairs that met in one unit go to one part, so a set moves once for many of them; units
     with too many pairs for a part are cut into blocks against blocks.
     """
-    many = pairs.groupBy("gram").count().where(F.col("count") > PAIRS).select("gram", F.ceil(F.sqrt(F.col("count") / PAIRS)).alias("k"))
-    cut = pairs.join(many, "gram", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    block = F.struct("gram", F.pmod(F.xxhash64("a"), F.col("k")), F.pmod(F.xxhash64("b"), F.col("k")))
+    many = pairs.groupBy("unit").count().where(F.col("count") > PAIRS).select("unit", F.ceil(F.sqrt(F.col("count") / PAIRS)).alias("k"))
+    cut = pairs.join(many, "unit", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    block = F.struct("unit", F.pmod(F.xxhash64("a"), F.col("k")), F.pmod(F.xxhash64("b"), F.col("k")))
     parts = max(1, pairs.count() // PAIRS) * 4
     cut = stored(cut.select("a", "b", F.pmod(F.xxhash64(block), F.lit(parts)).alias("part")), "parts")
     ends = cut.select(F.col("part").alias("unit"), F.col("a").alias("sid")).union(cut.select(F.col("part").alias("unit"), F.col("b").alias("sid"))).distinct()
@@ -233,6 +282,17 @@ def _checked(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return stored(cut.groupBy("part").cogroup(sets.groupBy("unit")).applyInArrow(_similar, "a long, b long"), "similar")
 
 
+def _named(buckets: DataFrame, units: Column, labels: DataFrame | None) -> DataFrame:
+    """Rows of groups in the units they belong to, with the component of their set, dealt by unit."""
+    unit = F.when(F.col("blocks").isNull(), F.col("gram")).otherwise(F.xxhash64("gram", "number")).alias("unit")
+    rows = buckets.withColumn("number", F.explode(units))
+    label = F.col("sid")
+    if labels is not None:
+        rows, label = rows.join(labels, rows.sid == labels.node, "left"), F.coalesce("label", "sid")
+    rows = rows.select(unit, "sid", "n", "pos", *WORDS, label.alias("label"))
+    return rows.repartition("unit").sortWithinPartitions("unit", "sid")
+
+
 def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(a, b): links that connect the sets of `nodes` exactly as all pairs with a similarity of NUM / DEN or more do.
 
@@ -241,10 +301,10 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) ->
     sample = texts.where(F.pmod(F.xxhash64("text_hash"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(partial(_counts, shingle=shingle), "gram long, n long")
     top = sample.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
     frequent, often = top.gram.to_numpy(np.int64), top.n.to_numpy(np.int64)
-    keys = texts.select("text").mapInArrow(partial(_prefixes, shingle=shingle, frequent=frequent, often=often), "gram long, sid long, place long")
+    keys = texts.select("text").mapInArrow(partial(_prefixes, shingle=shingle, frequent=frequent, often=often, block=BLOCK), "gram long, salt long, sid long, place long")
     # Keys are about as large as their texts: parts of half an input part keep what a task holds small.
     parts = max(2 * texts.rdd.getNumPartitions(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = keys.repartition(parts, "gram").sortWithinPartitions("gram", "sid").mapInArrow(_met, "gram long, sid long, n long, pos long")
+    met = keys.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "sid").mapInArrow(_met, "gram long, sid long, n long, pos long")
     met = stored(met, "met")
     buckets = stored(met.join(nodes.select("sid", *WORDS), "sid").select("gram", "sid", "n", "pos", *WORDS), "buckets")
 
@@ -256,21 +316,26 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) ->
     if not own.groupBy("sid").count().where("count > 1").isEmpty():  # sets are dealt anew only where rows repeat
         own = stored(own.dropDuplicates(["sid"]), "compared")
 
+    size = buckets.groupBy("gram").agg(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES).alias("size"))
+    cut = stored(size.where("size > 1").select("gram", F.ceil(2 * F.col("size")).cast("int").alias("blocks")), "cut")
+    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+
     links, tried, labels = None, None, None
-    for turn in range(TURNS + 1):
-        label = F.lit(None).cast("long") if labels is None else F.col("label")
-        named = buckets if labels is None else buckets.join(labels, buckets.sid == labels.node, "left")
-        named = named.select("gram", "sid", "n", "pos", *WORDS, F.coalesce(label, "sid").alias("label"))
-        named = named.repartition("gram").sortWithinPartitions("gram", "sid")
-        # Leaders in turn, and at last everyone with everyone that is still in another component.
-        pairs = named.mapInArrow(partial(_leaders, turn=turn) if turn < TURNS else _across, "a long, b long, gram long")
-        pairs = pairs.groupBy("a", "b").agg(F.min("gram").alias("gram"))
+    for turn in range(TURNS):  # leaders
+        pairs = _named(buckets.join(cut, "gram", "left"), F.array(F.coalesce(mine, F.lit(0))), labels).mapInArrow(partial(_leaders, turn=turn), "unit long, a long, b long")
+        pairs = pairs.groupBy("a", "b").agg(F.min("unit").alias("unit"))
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = _checked(pairs, own)
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         links = found if links is None else links.union(found)
-        if turn < TURNS:
-            labels = stored(components(links, "a", "b"), "labels")
+        labels = stored(components(links, "a", "b"), "labels")
+    # Then everyone with everyone that is still in another component.
+    every = _named(buckets.join(cut, "gram", "left"), block_pairs(F.col("blocks"), mine), labels)
+    met = stored(every.mapInArrow(partial(_across, room=PAIR_ROOM), "unit long, a long, b long, label long"), "across")
+    pairs = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("unit").alias("unit")).join(tried, ["a", "b"], "left_anti")
+    links = links.union(_checked(stored(pairs, "pairs"), own))
+    sets = met.where("b IS NULL").select("unit", F.col("a").alias("sid"), "label").join(own, "sid")
+    links = links.union(stored(sets.groupBy("unit").applyInArrow(_spanning, "a long, b long"), "spanning"))
     dropped(own)
     return links
 

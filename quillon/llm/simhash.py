@@ -16,7 +16,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_digest
 
 from quillon.llm.common import free_name, hot_join, ship_code, stored
@@ -117,7 +117,7 @@ def _keys(batches: Iterator[pa.RecordBatch], m: int, distance: int) -> Iterator[
             )
 
 
-class _Forest:
+class Forest:
     """Disjoint sets over the fingerprints that one task links."""
 
     def __init__(self) -> None:
@@ -187,7 +187,7 @@ def _near(group: np.ndarray, start: int, m: int, distance: int) -> Iterator[tupl
 
 def _links(batches: Iterator[pa.RecordBatch], m: int, distance: int) -> Iterator[pa.RecordBatch]:
     _, starts = _masks(m, distance)
-    forest, out = _Forest(), []
+    forest, out = Forest(), []
 
     def run(unit: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> None:
         """unit: number of the comparison unit of each row, ascending."""
@@ -238,6 +238,13 @@ def _links(batches: Iterator[pa.RecordBatch], m: int, distance: int) -> Iterator
     yield from flush()
 
 
+def block_pairs(blocks: Column, mine: Column) -> Column:
+    """Numbers of the units of two blocks that the block `mine` is in; one unit where there are no blocks."""
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda i: i != mine)
+    units = F.transform(others, lambda i: F.least(i, mine) * blocks + F.greatest(i, mine))
+    return F.when(blocks.isNull(), F.array(F.lit(0))).otherwise(units)
+
+
 def fingerprint_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints `nodes.fp` exactly as all pairs within `distance` do.
 
@@ -256,12 +263,8 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     if heavy.isEmpty():
         keys = keys.withColumn("unit", F.lit(0))
     else:
-        mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        units = F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i != mine),
-            lambda i: F.least(i, mine) * F.col("n") + F.greatest(i, mine),
-        )
-        keys = keys.join(heavy, "key", "left").select("key", "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(units)).alias("unit"))
+        units = block_pairs(F.col("n"), F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+        keys = keys.join(heavy, "key", "left").select("key", "fp", F.explode(units).alias("unit"))
     shuffled = keys.select("key", "unit", "fp").repartition("key", "unit").sortWithinPartitions("key", "unit")
     return shuffled.mapInArrow(partial(_links, m=m, distance=distance), "a long, b long")
 

@@ -52,9 +52,21 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("frequent", [0, 200_000])
-def test_groups_equal_all_pairs(spark, monkeypatch, frequent):
-    monkeypatch.setattr(overlap, "FREQUENT", frequent)
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        {"FREQUENT": 0},
+        {"FREQUENT": 200_000, "PAIRS": 10},
+        {"PAIR_ROOM": 10**9},  # sets are compared in place wherever two can be similar
+        {"BLOCK": 20, "SAMPLE": 1, "PAIR_ROOM": 200},  # salted groups, blocks against blocks, both ways of comparing
+        {"SHINGLES": 500, "TURNS": 2},
+    ],
+    ids=str,
+)
+def test_groups_equal_all_pairs(spark, monkeypatch, sizes):
+    """Whatever the sizes that deal the work."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(overlap, name, value)
     rows = [(i, t, "c") for i, t in enumerate(texts())]
     roots = brute_groups([r[1] for r in rows])
     docs = spark.createDataFrame(rows + rows[30:40], "doc_id long, text string, sid string")
@@ -96,3 +108,28 @@ def test_chains_leave_similar_sets_in():
         assert good.tolist() == [i for i in range(1, 300) if bits[i - 1] <= overlap.WITHIN]
         passed.append(len(good))
     assert passed[-1] == 0
+
+
+def test_in_place_comparison_spans_what_all_pairs_link():
+    """The forest of one unit connects its sets as all links do, sets of one label counted as connected."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(-(2**63), 2**63 - 1, rng.integers(1, 60))
+        sets += [np.unique(np.where(rng.random(len(base)) < 0.08, rng.integers(-(2**63), 2**63 - 1, len(base)), base)) for _ in range(6)]
+    labels = [i - i % 2 if i < 12 else i for i in range(len(sets))]
+    got = overlap._spanning(pa.table({"sid": list(range(len(sets))), "label": labels, "grams": [s.tobytes() for s in sets]})).to_pylist()
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    same = list(zip(range(len(sets)), labels))
+
+    def roots(edges):
+        forest = simhash.Forest()
+        for a, b in edges:
+            forest.joins(a, b)
+        return [forest.root(i) for i in range(len(sets))]
+
+    assert {(r["a"], r["b"]) for r in got} <= set(links) and roots(same + links) == roots(same + [(r["a"], r["b"]) for r in got])
+    assert 0 < len(got) < len(set(labels))

@@ -131,7 +131,7 @@ def test_every_unit_tries_chains(monkeypatch, segments, large):
     (*keys,) = simhash._keys(iter([pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64))], ["fp"])]), segments, 4)
     table = pa.Table.from_batches(keys)
     table = table.append_column("unit", pa.array(np.zeros(table.num_rows, np.int32))).select(["key", "unit", "fp"]).sort_by("key")
-    up = simhash._Forest()
+    up = simhash.Forest()
     for batch in simhash._links(iter(table.combine_chunks().to_batches(max_chunksize=5000)), segments, 4):
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             assert ((a ^ b) % 2**64).bit_count() <= 4
