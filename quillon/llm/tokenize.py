@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: UTF-8 bytes of text whose distinct words are looked up together, and pieces of one call.
-GROUP, CALL = 16_000_000, 2000
-#: Pieces whose ids a worker keeps for later groups; about 50 bytes each.
-KEEP = 1_000_000
+#: UTF-8 bytes of text whose distinct words are looked up together (all arrays of a group take some 20 times that), and pieces of one call.
+GROUP, CALL = 4_000_000, 2000
+#: Pieces whose ids a worker keeps for later groups; about 50 bytes each, and as much again while they are looked up.
+KEEP = 250_000
 #: Pieces of a plain word, as the vocabulary's own pattern cuts it.
 _PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+)"
 # Fixed value: the pattern of vocabularies that may be cut so.
@@ -93,17 +93,21 @@ class Encoder:
     def _known(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a table of pieces, where each starts and ends, in the order of `pieces`; new ones join the table."""
         at = pc.index_in(pieces, value_set=self.pieces)
-        fresh = pieces.filter(pc.is_null(at))
-        if len(fresh):
-            if len(self.pieces) + len(fresh) > KEEP:  # start anew with what is used now
-                fresh, self.pieces, self.flat, self.stops = pieces, self.pieces[:0], self.flat[:0], self.stops[:1]
+        new, old = at.is_null().to_numpy(zero_copy_only=False), at.drop_null().to_numpy()
+        place = np.empty(len(pieces), np.int64)
+        place[~new] = old
+        if new.any():
+            fresh = pieces.filter(pa.array(new))
+            if len(self.pieces) + len(fresh) > KEEP:  # only what is used now stays
+                self.flat, self.stops = _spread(self.flat, self.stops[old], self.stops[old + 1])
+                self.pieces = self.pieces.take(pa.array(old))
+                place[~new] = np.arange(len(old))
+            place[new] = np.arange(len(self.pieces), len(self.pieces) + len(fresh))
             ids, ends = self._encode(fresh)
             self.stops = np.concatenate([self.stops, len(self.flat) + ends])
             self.flat = np.concatenate([self.flat, ids])
             self.pieces = pa.concat_arrays([self.pieces, fresh])
-            at = pc.index_in(pieces, value_set=self.pieces)
-        at = at.to_numpy()
-        return self.flat, self.stops[at], self.stops[at + 1]
+        return self.flat, self.stops[place], self.stops[place + 1]
 
     def _model_ids(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct plain words in a row, and where each word ends."""
@@ -149,6 +153,7 @@ class Encoder:
             before = int(ends[at - 1]) if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, before + GROUP, side="right")))
             yield at, self.ids(texts[at:stop].to_pylist())
+            pa.default_memory_pool().release_unused()  # else an idle worker keeps what the largest group took
             at = stop
 
 

@@ -1,6 +1,8 @@
 """Packing and token-id files against brute force."""
 
 import random
+import subprocess
+import sys
 from io import BytesIO
 from zlib import crc32
 
@@ -56,6 +58,43 @@ def test_encoder_groups_and_memory(library, monkeypatch, keep):
         assert enc.ids(odd) == [b""] * len(odd)
 
 
+def test_encoder_keeps_known_pieces(monkeypatch):
+    """A full table forgets what a group does not use, and encodes nothing anew that it uses and knows."""
+    monkeypatch.setattr(tokenize, "KEEP", 6)
+    enc, seen = Encoder(PATH), []
+    encode = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda pieces: seen.extend(pieces.to_pylist()) or encode(pieces))
+    texts = ["one two three four", "three five four six seven", "six three eight"]
+    assert [enc.ids([t])[0] for t in texts] == Encoder(PATH).ids(texts)
+    assert sorted(seen) == sorted("one two three four five six seven eight".split())
+    assert len(enc.pieces) <= 6
+
+
+_MEMORY = """
+import re, sys
+import numpy as np, pyarrow as pa
+from quillon.llm.tokenize import Encoder
+mb = lambda what: int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+rng = np.random.default_rng(5)
+letters = rng.integers(97, 123, (200_000, 6), np.uint8)
+words = np.hstack([letters, np.full((200_000, 1), 32, np.uint8)])
+rows = [words[rng.integers(0, 200_000, 500)].tobytes().decode() for _ in range(8000)]
+texts, enc = pa.array(rows), Encoder(sys.argv[1])
+del rows
+enc.ids(["a"])
+before = mb("VmRSS")
+n = sum(len(raw) for _, found in enc.groups(texts) for raw in found)
+assert n > 8000 * 500 * 4
+print(mb("VmHWM") - before)
+"""
+
+
+def test_encoder_memory():
+    """28 MB of text: what an encoder takes follows the group, not the batch; an executor has a worker for each core beside its heap."""
+    out = subprocess.run([sys.executable, "-c", _MEMORY, PATH], capture_output=True, text=True, timeout=120, check=True)
+    assert float(out.stdout) < 120
+
+
 def test_pack_places_every_id(docs, library):
     rows = packing.pack(docs, PATH, capacity=64).collect()
     want = [(d, ids_of(library, t) + b"\1\0\0\0") for d, t in docs.select("doc_id", "text").collect()]
