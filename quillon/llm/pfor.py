@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillon.llm.common import fresh_path, remove, ship_code, stored
+from quillon.llm.common import fresh_path, remove, ship_code, slices, stored
 from quillon.llm.tokenize import encoder, largest_id
 
 MAGIC = b"QPFOR002"
@@ -165,7 +165,7 @@ def _records(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     """The records of one task's file."""
     writer, held = Writer(), []
     batch_of = lambda raws: pa.RecordBatch.from_arrays([pa.array(raws, pa.binary())], ["value"])
-    for batch in batches:
+    for batch in slices(batches):
         for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.extend(writer.add(doc, raw if width == 4 else np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()))
             if len(held) >= 256:

@@ -3,6 +3,7 @@
 import random
 import subprocess
 import sys
+import tracemalloc
 from io import BytesIO
 from zlib import crc32
 
@@ -191,5 +192,18 @@ def test_files_are_in_order_and_rows_without_id_spread(spark, library, tmp_path)
     assert all(r.n_tokens == by_id[r.doc_id] for r in got if r.doc_id is not None)
 
 
+def test_records_hold_few_rows_at_a_time():
+    """A batch of 20 MB is written with a small part of it in Python objects."""
+    raw = np.arange(2000, dtype="<u2").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([raw] * 5000, pa.binary())], ["doc_id", "ids"])
+    tracemalloc.start()
+    try:
+        size = sum(out.nbytes for out in pfor._records(iter([batch]), width=2))
+        assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    finally:
+        tracemalloc.stop()
+    assert size > 5000 * 2000 * 10 // 8  # ids below 2000 at the width of a percentile, 11 bits
+
+
 def test_token_ids_empty(docs):
     assert pfor.round_trip(docs.limit(0), PATH).count() == 0
