@@ -26,6 +26,11 @@ from quillon.plans.graph import Edge, JoinGraph
 from quillon.request import Filter, QueryRequest, alias, split
 
 ROW_ID = "__row"
+#: A fan-out join has a task for every PART bytes of the files behind its many side, PARTS tasks at most unless the
+#: session asks for more. Its tasks sort both sides and hold their distinct rows, some 500 bytes a row.
+PART, PARTS = 4 << 20, 4096
+#: Sources without statistics say that they hold exabytes.
+UNKNOWN = 1 << 50
 
 
 @dataclass(frozen=True)
@@ -445,6 +450,8 @@ class _Context:
         for e in edges:
             right = self._slice(p.view(e.right), edges, False)
             on = reduce(Column.__and__, [F.col(f"__k__{e.left}__{a}") == F.col(f"__k__{e.right}__{b}") for a, b in e.keys])
+            if e.many:
+                df, right = self._spread(df, right, e)
             df = df.join(right, on, "left")
         column = lambda member: F.col(refs.quoted(f"__d__{alias(member)}"))
         for f in self.row_filters:
@@ -463,6 +470,23 @@ class _Context:
         shown |= {alias(t.member): truncated(column(t.dimension), t.granularity, q.timezone) for t in q.time_dimensions}
         return df.withColumns(shown) if shown else df, fans
 
+    @staticmethod
+    def _spread(left: DataFrame, right: DataFrame, e: Edge) -> tuple[DataFrame, DataFrame]:
+        """Both sides of a fan-out join in enough parts; adaptive execution, which sees compressed bytes, would merge them.
+
+        The left side keeps the parts that it has where the session's number will do. Small right sides are broadcast.
+        """
+        plan, state = right._jdf.queryExecution().optimizedPlan(), right.sparkSession._jsparkSession.sessionState()
+        leaves = plan.collectLeaves()
+        size = sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+        if size <= PART or plan.stats().sizeInBytes() <= state.conf().autoBroadcastJoinThreshold():
+            return left, right
+        session = state.conf().numShufflePartitions()
+        parts = session if size >= UNKNOWN else max(session, min(-(-size // PART), PARTS))
+        if parts > session:
+            left = left.repartition(parts, *[f"__k__{e.left}__{a}" for a, _ in e.keys])
+        return left, right.repartition(parts, *[f"__k__{e.right}__{b}" for _, b in e.keys])
+
     def _identity(self, view: View) -> list[str]:
         """Columns that tell the view's rows apart, where it declares its key."""
         return [self.p.key_sql(view, k) for k in view.primary_keys()]
@@ -474,9 +498,11 @@ class _Context:
         df, fans = self.joined(root)
         if fans:
             # A row counts once for each tuple of dimension values, however often the joins repeat it.
-            identity = self._identity(root)
-            df = df.withColumns({f"__id{n}": F.expr(sql) for n, sql in enumerate(identity)})
-            names = [f"__id{n}" for n in range(len(identity))] or [ROW_ID]
+            # Keys that a join has are taken as they are, so that Spark sees where it has put them.
+            keys = {f"__id{n}": f"__k__{root.name}__{key}" for n, key in enumerate(root.primary_keys())}
+            made = {n: F.expr(sql) for (n, key), sql in zip(keys.items(), self._identity(root), strict=True) if key not in df.columns}
+            df = df.withColumns(made)
+            names = [n if n in made else key for n, key in keys.items()] or [ROW_ID]
             df = df.dropDuplicates([*self.dims, *names]).alias(root.name)
         columns = []
         for member in members:

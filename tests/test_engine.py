@@ -1,6 +1,7 @@
 """Values over small fixtures with answers worked out by hand."""
 
 import json
+import re
 from datetime import date, datetime
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from quillon import bootstrap, catalog, cli, envelope, loader, profile, queries
 from quillon.engine import SemanticEngine
 from quillon.errors import PlanError, QueryError, SchemaError, SourceError
+from quillon.plans import planner
 from quillon.sources import Connections, FileSource, connect, credential, introspect, test_connection as ping
 
 # Parcels on their way, invented for these tests: id, step, sender, when, country, carrier, fee in cents.
@@ -160,6 +162,27 @@ def test_fan_out(engine):
     assert both == [("Austria", 3, 2), ("Norway", 7, 3), ("Portugal", 2, 3), ("Sweden", 5, None), (None, None, 2)]
 
 
+def test_fan_out_in_parts(spark, engine, tmp_path, monkeypatch):
+    # Join and distinct rows of a fan-out keep their parts, by size of the files or else the session's; merged, one task had to hold all.
+    monkeypatch.setattr(planner, "PART", 256, raising=False)
+    engine.tables["parcels"].write.parquet(f"{tmp_path}/parcels")
+    filed = SemanticEngine(engine.layer, spark, engine.tables | {"parcels": f"{tmp_path}/parcels"})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made, fewest in ((filed, 5), (engine, 4)):
+            df = made.query({"dimensions": ["parcels.carrier"], "measures": ["countries.area"]})
+            assert sorted(rows_of(df), key=str) == [("air", 10), ("rail", 5), ("road", 9), (None, 5)]
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            below = plan[plan.index("SortMergeJoin") :]
+            assert "AQEShuffleRead" not in below
+            parts = {int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", below)}
+            assert len(parts) == 1 and min(parts) >= fewest
+            assert plan[: plan.index("SortMergeJoin")].count("Exchange hashpartitioning") == 1  # distinct rows stay where the join made them
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_relative_dates(engine):
     q = {"measures": ["parcels.n"], "time_dimensions": [{"dimension": "parcels.at", "granularity": "day", "date_range": ["last 2 days"]}]}
     assert [r[1] for r in sorted(engine.query(q).collect())] == [3]  # to the start of the last day
